@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("universe", "features")
+MODULES = ("universe", "features", "books")
 
 
 def _modules():
