@@ -16,7 +16,7 @@ import struct
 from functools import lru_cache
 
 #: Stretches, and words, that a worker remembers; beyond it the memory is emptied and fills anew.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
 
 #: A space before a character that is visible by every definition of white space.
 SPACE = re.compile(r" (?=[!-~¡-ᙿⰀ-⿿、-퟿])")
@@ -35,18 +35,6 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Stretches(dict):
-    """Ids of ``" " + stretch``, found when first asked for."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, stretch: str) -> bytes:
-        ids = self[stretch] = self.encoder.stretch(stretch)
-        return ids
-
-
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers. Texts that hold an added token go through the library whole."""
 
@@ -59,7 +47,7 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = byte_alphabet()
         self.words: dict[str, bytes] = {}
-        self.known = _Stretches(self)
+        self.known: dict[str, bytes] = {}
         # how this vocabulary treats a plain word: as it is with its space, or in lower case without it
         self.keeps_space = self._ids(" a") != self._ids("a")
 
@@ -67,38 +55,48 @@ class Encoder:
         return _packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def word(self, piece: str) -> bytes:
-        ids = self.words.get(piece)
-        if ids is None:
-            shown = piece.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.words[piece] = _packed([t.id for t in self.model.tokenize(shown)])
+        """The ids of one pre-token."""
+        shown = piece.encode().decode("latin-1").translate(self.alphabet)
+        ids = self.words[piece] = _packed([t.id for t in self.model.tokenize(shown)])
         return ids
 
     def stretch(self, stretch: str) -> bytes:
         """The ids of a space and ``stretch``; single line ends inside are pre-tokens of their own, or dropped."""
-        out, lead = [], " " if self.keeps_space else ""
-        for part in stretch.split("\n"):
+        words, spaced, out = self.words, self.keeps_space, []
+        for part in stretch.split("\n") if "\n" in stretch else (stretch,):
             plain = SIMPLE.fullmatch(part)
             if not plain:
                 return self._ids(" " + stretch)
             letters, marks = plain.groups()
-            out.append(self.word(lead + letters) if self.keeps_space else self.word(letters.lower()))
+            letters = letters.lower() if not spaced else letters if out else " " + letters
+            if out and spaced:
+                out.append(words.get("\n") or self.word("\n"))
+            out.append(words.get(letters) or self.word(letters))
             if marks:
-                out.append(self.word(marks))
-            if self.keeps_space:
-                out.append(self.word("\n"))
-                lead = ""
-        return b"".join(out[:-1] if self.keeps_space else out)
+                out.append(words.get(marks) or self.word(marks))
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text``, as the library gives them without special tokens."""
         for a in self.added:
             if a in text:
                 return self._ids(text)
-        if len(self.known) > REMEMBERED or len(self.words) > REMEMBERED:
-            self.known.clear()
+        known = self.known
+        if len(known) > REMEMBERED or len(self.words) > REMEMBERED:
+            known.clear()
             self.words.clear()
-        first, *rest = SPACE.split(text)
-        return self._ids(first) + b"".join(map(self.known.__getitem__, rest))
+        rest = SPACE.split(text)
+        parts = list(map(known.get, rest))
+        parts[0] = self._ids(rest[0])
+        if None in parts:
+            for i, ids in enumerate(parts):
+                if ids is None:  # a stretch may be new more than once in a text
+                    stretch = rest[i]
+                    ids = known.get(stretch)
+                    if ids is None:
+                        ids = known[stretch] = self.stretch(stretch)
+                    parts[i] = ids
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=4)
