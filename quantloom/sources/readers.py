@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import time
+import uuid
 import zipfile
 from collections.abc import Callable, Iterable
 
@@ -29,6 +30,8 @@ def wide_csv(spark: SparkSession, path: str, suffix: str, exclude: Iterable[str]
     raw = spark.read.csv(path, header=True)
     columns = [c for c in raw.columns if c.endswith(f"_{suffix}") and c[: -len(suffix) - 1].upper() not in set(exclude)]
     first = date if date in raw.columns else raw.columns[0]
+    if not columns:
+        return spark.createDataFrame([], "date date, id string, value double")
     long = raw.unpivot([first], sorted(columns), "id", "value")
     value = F.expr("try_cast(value AS double)")
     return long.select(F.to_date(F.col(first)).alias("date"), F.regexp_replace("id", f"_{suffix}$", "").alias("id"), F.when(~F.isnan(value), value).alias("value"))
@@ -151,10 +154,12 @@ def fetch_missing(spark: SparkSession, wanted: DataFrame, cache: str, fetch: Cal
                         time.sleep(pause * 2**attempt)
             yield pd.DataFrame(out, columns=[*keys, "ok", "rows"])
 
-    got = todo.mapInPandas(run, row_type).persist()
+    # one pass of fetching, written as it comes; keys and rows are read off that table
+    batch = f"{cache}/batches/{uuid.uuid4().hex}"
+    todo.mapInPandas(run, row_type).write.parquet(batch)
+    got = spark.read.parquet(batch)
     got.select(*keys).write.mode("append").parquet(f"{cache}/keys")
     got.select(*keys, F.explode("rows").alias("r")).select(*keys, "r.*").write.mode("append").parquet(f"{cache}/rows")
-    got.unpersist()
     return spark.read.parquet(f"{cache}/rows")
 
 

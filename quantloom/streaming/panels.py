@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def daily_resample(events: DataFrame, value: str = "value", key: str = "event_type", late: str = "2 days") -> DataFrame:
-    """``date, key, n, total`` by day; a closed day never changes, rows later than the watermark are dropped."""
-    day = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+def daily_resample(events: DataFrame, value: str = "value", key: str = "event_type", late: str | None = "2 days") -> DataFrame:
+    """``date, key, n, total`` by day; a closed day never changes, rows later than the watermark are dropped.
+
+    ``late=None``: the events carry a watermark already.
+    """
+    day = (events.withWatermark("ts", late) if late else events).groupBy(F.window("ts", "1 day"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return day.select(F.to_date("window.start").alias("date"), key, "n", "total")
 
 
