@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .panel import cut
+
 EPS = 1e-8
 
 
@@ -57,13 +59,13 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
     """``node, component``: least label reachable, passed on until nothing changes; labels jump to their labels' labels."""
     from pyspark import StorageLevel
 
-    edges, labels = _cut(edges.select("src", "dst")), nodes.select("node", F.col("node").alias("component"))
+    edges, labels = cut(edges.select("src", "dst")), nodes.select("node", F.col("node").alias("component"))
     for _ in range(rounds):
         heard = edges.join(labels, edges["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("m"))
         near = labels.join(heard, labels["node"] == heard["src"], "left").select("node", F.least("component", "m").alias("component"))
         root = near.select(F.col("node").alias("component"), F.col("component").alias("root"))
         new = near.join(root, "component").select("node", F.least("component", "root").alias("component"))
-        new = _cut(new).persist(StorageLevel.MEMORY_AND_DISK)
+        new = cut(new).persist(StorageLevel.MEMORY_AND_DISK)
         moved = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").count()
         labels = new
         if not moved:
@@ -71,14 +73,6 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
     return labels
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return df.checkpoint()
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sum(F.abs("weight")).alias("degree"))
 
@@ -114,7 +108,7 @@ def cluster_quality(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumns({"satisfied": F.try_divide(F.col("pos_within") + F.col("neg_between"), total), "frustration": F.try_divide(F.col("neg_within") + F.col("pos_between"), total), "objective": F.col("neg_within") + 2 * F.col("pos_between")})
 
 
-def balanced_cut(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def balancedcut(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Per cluster: positive weight cut plus negative weight kept, over the volume of its nodes."""
     l = labels.select(F.col("node").alias("src"), F.col("label").alias("ls"))
     m = labels.select(F.col("node").alias("dst"), F.col("label").alias("ld"))

@@ -107,3 +107,11 @@ def quality_report(panel: DataFrame, value: str, key: str = "id") -> DataFrame:
 def wide(panel: DataFrame, value: str, ids: list, key: str = "id", date: str = "date") -> DataFrame:
     """One column per id, ids ascending; the last value present wins. For the edge of dense algebra only."""
     return panel.where(F.col(value).isNotNull()).groupBy(date).pivot(key, sorted(ids)).agg(F.last(value, ignorenulls=True))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the shared checkpoint folder."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    return df.checkpoint()

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import symbols
-from quantloom.operators import clustering, death, folds, graph, inference, ledger, panel, pca, portfolio, signals
+from quantloom.operators import clustering, death, folds, graph, inference, ledger, panel, pca, portfolio, signals, walkforward
 from quantloom.sources import readers
 from quantloom.streaming import panels as streams
 
@@ -133,6 +133,20 @@ def fold_eligibility(spark, sf):
     return folds.eligible(folds.fold_rows(dense, table, 20), share=0.99).groupBy("fold").agg(F.count("*").alias("n_ids"))
 
 
+def _calm(spark, sf):
+    """Weekly returns scaled down, so that books of brands stay solvent."""
+    dense = data.dense_week(spark, sf).withColumn("r", F.round(F.col("r") / 20, 9))
+    return dense, panel.calendar(data.week_panel(spark, sf)).count()
+
+
+def walkforward_weights(spark, sf):
+    return walkforward.fold_weights(*_calm(spark, sf)).withColumn("w", F.round("w", 9))
+
+
+def walkforward_book(spark, sf):
+    return walkforward.run(*_calm(spark, sf))
+
+
 def romano_wolf(spark, sf):
     dense = data.dense_week(spark, sf)
     full = dense.select("date", F.col("id").alias("strategy"), F.coalesce("r", F.lit(0.0)).alias("ret"))
@@ -244,7 +258,7 @@ def stream_rolling_mean(spark, sf):
 
 QUERIES = [
     knn_signed_edges, signed_knn_split, rank_weighted_edges, graph_diagnostics, connected_components, signed_laplacian, cluster_quality, balanced_cut, cluster_cohesion_drop, ari_stability,
-    *(_labels_by(n) for n in clustering.KERNELS), labels_signflip_k, market_mode_residuals, market_mode_betas, ledger_replay, limited_weights, walkforward_folds, fold_eligibility, romano_wolf,
+    *(_labels_by(n) for n in clustering.KERNELS), labels_signflip_k, market_mode_residuals, market_mode_betas, ledger_replay, limited_weights, walkforward_folds, fold_eligibility, walkforward_weights, walkforward_book, romano_wolf,
     death_features, auc_by_rank, event_study, normalize_symbols, derivative_filter, formatted_money, json_props_flatten, funding_daily, funding_summary, keep_last_dedup, wide_pivot, set_operations, stream_daily_resample, stream_rolling_mean,
 ]
 

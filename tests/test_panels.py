@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import symbols
-from quantloom.operators import asof, characteristics, clustering, death, folds, graph, inference, ledger, panel, pca, portfolio, returns, rolling, signals, universe
+from quantloom.operators import asof, characteristics, clustering, death, folds, graph, inference, ledger, panel, pca, portfolio, returns, rolling, signals, universe, walkforward
 
 DAY = dt.date(2020, 1, 6)
 
@@ -265,3 +265,24 @@ def test_symbols(spark):
     assert [(r.s, r.b) for r in df.select("s", symbols.normal_base(F.col("s")).alias("b")).collect()] == cases
     money = spark.createDataFrame([(1.5e12,), (2.0e9,), (3.4e6,), (7800.0,), (12.0,), (None,)], "v double")
     assert [r.m for r in money.select(symbols.money(F.col("v")).alias("m")).collect()] == ["1.5T", "2.0B", "3.4M", "7.8k", "12", None]
+
+
+def test_walk_forward_looks_only_back(spark):
+    rng = np.random.default_rng(9)
+    common = rng.normal(0, 0.02, (120, 2))
+    r = np.hstack([common[:, [0]] + rng.normal(0, 0.01, (120, 5)), common[:, [1]] + rng.normal(0, 0.01, (120, 5))])
+    rows = [(day(i), i, f"n{j}", float(r[i, j])) for i in range(120) for j in range(10)]
+    dense = spark.createDataFrame(rows, "date date, date_idx int, id string, r double").cache()
+    rules = walkforward.Rules(train=60, test=10, context=40, clusters=2, kernel="SignedSpectral", neighbours=3, drop_least_cohesive=False, weigh=lambda df: signals.deviation_weights(df, limit=0.5))
+    key = lambda df: {(x.date, x.id): round(x.w, 9) for x in df.collect()}
+    whole = key(walkforward.fold_weights(dense, 120, rules))
+    part = key(walkforward.fold_weights(dense.where("date_idx < 90"), 90, rules))
+    assert len(whole) == 600 and part and all(whole[k] == w for k, w in part.items())
+    assert any(w for w in whole.values())
+    poked = dense.withColumn("r", F.when(F.col("date_idx") == 89, F.lit(9.0)).otherwise(F.col("r")))
+    assert key(walkforward.fold_weights(poked.where("date_idx < 90"), 90, rules)) == part
+    for d in {k[0] for k in whole}:
+        gross = sum(abs(w) for (x, _), w in whole.items() if x == d)
+        assert gross < 1e-9 or abs(gross - 1.5) < 1e-6
+    book = walkforward.run(dense, 120, (0.0, 50.0), rules).toPandas()
+    assert set(book["book"]) == {0.0, 50.0} and len(book) == 120
