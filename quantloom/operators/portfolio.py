@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,26 @@ def two_factor_neutral(w: str, f: str, g: str, ridge: float = EPS) -> Column:
     return F.col(w) - (gg * wf - fg * wg) / det * F.col(f) - (ff * wg - fg * wf) / det * F.col(g)
 
 
+def factors_neutral(df: DataFrame, factors: list[str], w: str = "w", ridge: float = EPS, worst: float = 1e10) -> DataFrame:
+    """``df`` with the weights of each date neutral to all factors at once: ``w - F (F'F + ridge I)^-1 F'w``.
+
+    Where that matrix's condition number reaches ``worst``, to one factor after the other. A date is one small group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        f, x = pdf[factors].fillna(0.0).to_numpy(float), pdf[w].fillna(0.0).to_numpy(float)
+        gram = f.T @ f + ridge * np.eye(len(factors))
+        if np.linalg.cond(gram) < worst:
+            x = x - f @ np.linalg.solve(gram, f.T @ x)
+        else:
+            for column in f.T:
+                size = column @ column
+                x = x - column * (column @ x / size if size > 0 else 0.0)
+        return pdf.assign(**{w: x})
+
+    return df.groupBy("date").applyInPandas(run, df.schema)
+
+
 def leverage_cap(w: str = "w", cap: float = 1.5) -> Column:
     gross = day_sum(F.abs(w))
     return F.when(gross > cap, F.col(w) * cap / gross).otherwise(F.col(w))

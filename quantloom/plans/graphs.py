@@ -313,4 +313,5 @@ SQL = {
     "wide_pivot": f"WITH {data.WEEK} SELECT date, " + ", ".join(f"max(round(volume, 2)) FILTER (id = 'Brand#{b}') AS \"Brand#{b}\"" for b in (11, 12, 13)) + " FROM week WHERE id IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY 1",
     "set_operations": f"WITH {data.USER}, a AS (SELECT id, date FROM usr WHERE n >= 3), b AS (SELECT id, date FROM usr WHERE value > 200) SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)",
     "stream_daily_resample": "SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n, CAST(sum(CAST(round(value, 2) AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
+    "stream_rolling_mean": "SELECT CAST(CAST(ts AS DATE) + k AS TIMESTAMP) AS until, event_type, round(avg(value), 6) AS mean, count(*) AS n FROM events, (SELECT unnest([1, 2, 3]) AS k) GROUP BY 1, 2",
 }

@@ -207,6 +207,19 @@ def test_costs_and_holdings(spark):
     assert (held["n_holdings"], held["mean_days"]) == (1, 2.0)
 
 
+def test_neutral_to_many_factors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2, 12, 4))
+    rows = [(day(d), f"n{i}", *map(float, x[d, i])) for d in range(2) for i in range(12)]
+    df = spark.createDataFrame(rows, "date date, id string, w double, f double, g double, h double").withColumn("twin", F.col("f"))
+    out = portfolio.factors_neutral(df, ["f", "g", "h"]).toPandas()
+    assert all(abs((out["w"] * out[c]).groupby(out["date"]).sum()).max() < 1e-6 for c in "fgh")
+    two = portfolio.factors_neutral(df, ["f", "g"]).toPandas().sort_values(["date", "id"])["w"]
+    same = df.withColumn("w", portfolio.two_factor_neutral("w", "f", "g")).toPandas().sort_values(["date", "id"])["w"]
+    assert np.allclose(two, same)
+    assert abs((portfolio.factors_neutral(df, ["f", "twin"]).toPandas().pipe(lambda p: (p["w"] * p["f"]).groupby(p["date"]).sum()))).max() < 1e-6
+
+
 def test_quintile_edges_go_up(spark):
     df = spark.range(1, 11).select(portfolio.quintile(F.col("id"), F.lit(10)).alias("q"))
     assert [r.q for r in df.collect()] == [0, 1, 1, 2, 2, 3, 3, 4, 4, 4]
