@@ -201,6 +201,10 @@ def jaccard_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def node_of(first: str, second: str):
+    return F.xxhash64(first, second)
+
+
 def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
@@ -212,22 +216,27 @@ def near_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     first row or, where that is out of reach, with the row before it: as many pairs as rows, never all pairs of a
     bucket. A document is in about 170 buckets, each with other company.
     """
-    spread = nodes.select("node", "first", "second", F.explode(wide_keys_udf("first", "second")).alias("key")).withColumn("key", F.col("key").cast("int"))
+    spread = nodes.select("first", "second", F.explode(wide_keys_udf("first", "second")).alias("key")).withColumn("key", F.col("key").cast("int"))
     order = Window.partitionBy("key").orderBy("first", "second")
-    me = F.struct("node", "first", "second")
-    lined = spread.select("node", "first", "second", F.first(me).over(order).alias("lead"), F.lag(me).over(order).alias("prev"))
+    me = F.struct("first", "second")
+    lined = spread.select("first", "second", F.first(me).over(order).alias("lead"), F.lag(me).over(order).alias("prev"))
 
     def near(c):
         return (F.bit_count(F.col("first").bitwiseXOR(F.col(f"{c}.first"))) <= REACH) & (F.bit_count(F.col("second").bitwiseXOR(F.col(f"{c}.second"))) <= REACH)
 
-    other = F.when(F.col("node") == F.col("lead.node"), None).when(near("lead"), F.col("lead.node")).when(near("prev"), F.col("prev.node"))
-    pairs = lined.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b"), other.alias("other")).where("other IS NOT NULL").select("a", "b").distinct()
+    other = F.when(me == F.col("lead"), None).when(near("lead"), F.col("lead")).when(near("prev"), F.col("prev"))
+    found = lined.select("first", "second", other.alias("other")).where("other IS NOT NULL")
+    # the row whose fingerprints come first, which leads the bucket, is ``a``: few nodes lead many
+    pairs = found.select(node_of("other.first", "other.second").alias("a"), node_of("first", "second").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
     wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "doc_id", "th")
     wanted = _small(materialise(wanted, "wanted"))
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select(wanted["node"], "text")
     sets = materialise(found.select("node", set_udf(shingle)("text").alias("s")).dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    # only the led rows' sets are dealt out once for each pair, those of the leaders once
+    leaders = sets.join(_small(pairs.select(F.col("a").alias("node")).distinct()), "node").select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    led = sets.join(_small(pairs.withColumnRenamed("b", "node")), "node").select("a", F.col("node").alias("b"), F.col("s").alias("sb"))
+    both = led.join(leaders.hint("merge"), "a")
     return both.where(jaccard_udf("sa", "sb") >= similarity).select("a", "b")
 
 
@@ -246,7 +255,7 @@ def drop_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
     known = materialise(texts.select("doc_id", "th", two_fingerprints_udf("text").alias("fp")).select("doc_id", "th", "fp.first", "fp.second"), "prints")
     copies = known.groupBy("first", "second").agg(F.min(F.struct("doc_id", "th")).alias("least"))
-    nodes = materialise(copies.select(F.xxhash64("first", "second").alias("node"), "first", "second", "least.doc_id", "least.th"), "nodes")
+    nodes = materialise(copies.select(node_of("first", "second").alias("node"), "first", "second", "least.doc_id", "least.th"), "nodes")
     groups = components(near_links(nodes, texts, shingle, similarity))
     kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("doc_id", "th")).alias("least")).select("least.doc_id", "least.th")
     kept = _small(materialise(kept, "kept"))
