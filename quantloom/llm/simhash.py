@@ -191,6 +191,34 @@ def set_udf(shingle: int):
     return sets
 
 
+#: Minima kept of a shingle set, a byte each, and how far below the similarity they may estimate a pair that is
+#: still verified: over three standard errors.
+SKETCH, SLACK = 128, 0.12
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """A byte of the least value of the set under each of so many multiplicative hashes."""
+    rng = np.random.default_rng(SEED)
+    factors, shifts = rng.integers(0, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
+    least = np.full(SKETCH, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(hashes), PIECE // 16):
+        part = hashes[at : at + PIECE // 16].astype(np.uint32)
+        least = np.minimum(least, (part[:, None] * factors + shifts).min(axis=0))
+    return ((least >> np.uint32(12)) & np.uint32(255)).astype(np.uint8).tobytes()
+
+
+@F.pandas_udf(T.BinaryType())
+def sketch_udf(sets: pd.Series) -> pd.Series:
+    return pd.Series([sketch(np.frombuffer(s, "<u4")) for s in sets])
+
+
+@F.pandas_udf(T.DoubleType())
+def likeness_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarity that two sketches estimate; equal bytes by chance are taken off."""
+    equal = np.array([(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean() for x, y in zip(a, b)], dtype=float)
+    return pd.Series((equal - 1 / 256) / (1 - 1 / 256))
+
+
 @F.pandas_udf(T.DoubleType())
 def jaccard_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
@@ -232,7 +260,10 @@ def near_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "doc_id", "th")
     wanted = _small(materialise(wanted, "wanted"))
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select(wanted["node"], "text")
-    sets = materialise(found.select("node", set_udf(shingle)("text").alias("s")).dropDuplicates(["node"]), "sets")
+    sets = materialise(found.select("node", set_udf(shingle)("text").alias("s")).dropDuplicates(["node"]).withColumn("k", sketch_udf("s")), "sets")
+    # most pairs are far from alike, which their sketches show without the sets
+    seen = pairs.join(sets.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(sets.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+    pairs = materialise(seen.where(likeness_udf("ka", "kb") >= similarity - SLACK).select("a", "b"), "close")
     # only the led rows' sets are dealt out once for each pair, those of the leaders once
     leaders = sets.join(_small(pairs.select(F.col("a").alias("node")).distinct()), "node").select(F.col("node").alias("a"), F.col("s").alias("sa"))
     led = sets.join(_small(pairs.withColumnRenamed("b", "node")), "node").select("a", F.col("node").alias("b"), F.col("s").alias("sb"))
