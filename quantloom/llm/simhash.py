@@ -164,6 +164,9 @@ def fingerprint_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
 REACH = 16
 #: Rows of a key table up to which it is broadcast (at most 32 bytes each); beyond it the join shuffles.
 BROADCAST_KEYS = 1_000_000
+#: Parts over which the rows of keys are dealt, at least: more than a document has keys, so that a part seldom gets two
+#: rows of one document, and the bytes of a row are the same for small tables as for large ones.
+KEY_PARTS = 256
 
 _TWO = T.StructType([T.StructField("first", T.LongType()), T.StructField("second", T.LongType())])
 
@@ -245,6 +248,7 @@ def near_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     bucket. A document is in about 170 buckets, each with other company.
     """
     spread = nodes.select("first", "second", F.explode(wide_keys_udf("first", "second")).alias("key")).withColumn("key", F.col("key").cast("int"))
+    spread = spread.repartition(max(KEY_PARTS, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key")
     order = Window.partitionBy("key").orderBy("first", "second")
     me = F.struct("first", "second")
     lined = spread.select("first", "second", F.first(me).over(order).alias("lead"), F.lag(me).over(order).alias("prev"))
