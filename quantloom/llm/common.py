@@ -23,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    root = f"{base.rstrip('/')}/quantloom-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quantloom-{spark.sparkContext.applicationId}")
+    # with its scheme, so that Python on the executors writes where Spark does
+    root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if root not in _scratch:
         _scratch[root] = spark
     return root
@@ -68,7 +70,8 @@ def filesystem(uri: str):
     """``(pyarrow filesystem, path)`` for a folder URI or a plain absolute path."""
     from pyarrow import fs
 
-    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+    local = uri.removeprefix("file:")
+    return (fs.LocalFileSystem(), f"/{local.lstrip('/')}") if local.startswith("/") else fs.FileSystem.from_uri(uri)
 
 
 def text_or_empty(df: DataFrame, column: str):
