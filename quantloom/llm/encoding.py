@@ -104,6 +104,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Frees what this worker remembers; Spark reuses workers, and other operators need the memory."""
+    encoder.cache_clear()
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from . import golay
 from .common import materialise, small_batches
 from .components import components
+from .encoding import forget
 
 BITS = 64
 #: First bit and width of each segment.
@@ -173,6 +174,7 @@ _TWO = T.StructType([T.StructField("first", T.LongType()), T.StructField("second
 
 @F.pandas_udf(_TWO)
 def two_fingerprints_udf(text: pd.Series) -> pd.DataFrame:
+    forget()
     out = []
     for t in text:
         pieces = list(shingle_hashes(words_of(t), 3))
