@@ -169,23 +169,25 @@ BROADCAST_KEYS = 1_000_000
 #: rows of one document, and the bytes of a row are the same for small tables as for large ones.
 KEY_PARTS = 256
 
-_TWO = T.StructType([T.StructField("first", T.LongType()), T.StructField("second", T.LongType())])
+def shingle_set(text: str, shingle: int, kind: str = "<u4") -> bytes:
+    """Distinct shingle hashes, ascending, the low 32 bits or as many as ``kind`` has."""
+    pieces = [h.astype(kind) for h in shingle_hashes(words_of(text), shingle)]
+    return np.unique(np.concatenate(pieces)).tobytes() if pieces else b""
 
 
-@F.pandas_udf(_TWO)
-def two_fingerprints_udf(text: pd.Series) -> pd.DataFrame:
-    forget()
-    out = []
-    for t in text:
-        pieces = list(shingle_hashes(words_of(t), 3))
-        out.append((majority(pieces), majority([mixed(h) for h in pieces])))
-    return pd.DataFrame({"first": signed([a for a, _ in out]), "second": signed([b for _, b in out])})
+def prints_udf(shingle: int):
+    """Two fingerprints, and a number for the set of shingles: texts of one set are one node."""
 
+    @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("first", "second", "node")]))
+    def prints(text: pd.Series) -> pd.DataFrame:
+        forget()
+        out = []
+        for t in text:
+            pieces = list(shingle_hashes(words_of(t), 3))
+            out.append((majority(pieces), majority([mixed(h) for h in pieces]), xxhash.xxh64_intdigest(shingle_set(t, shingle, "<u8"), SEED)))
+        return pd.DataFrame({c: signed([x[i] for x in out]) for i, c in enumerate(("first", "second", "node"))})
 
-def shingle_set(text: str, shingle: int) -> bytes:
-    """Distinct shingle hashes, ascending, 32 bits each."""
-    pieces = [(h & np.uint64(0xFFFFFFFF)).astype("<u4") for h in shingle_hashes(words_of(text), shingle)]
-    return np.unique(np.concatenate(pieces)).tobytes() if pieces else b""
+    return prints
 
 
 def set_udf(shingle: int):
@@ -234,10 +236,6 @@ def jaccard_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def node_of(first: str, second: str):
-    return F.xxhash64(first, second)
-
-
 def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
@@ -249,19 +247,19 @@ def near_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     first row or, where that is out of reach, with the row before it: as many pairs as rows, never all pairs of a
     bucket. A document is in about 170 buckets, each with other company.
     """
-    spread = nodes.select("first", "second", F.explode(wide_keys_udf("first", "second")).alias("key")).withColumn("key", F.col("key").cast("int"))
+    spread = nodes.select("first", "second", "node", F.explode(wide_keys_udf("first", "second")).alias("key")).withColumn("key", F.col("key").cast("int"))
     spread = spread.repartition(max(KEY_PARTS, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key")
-    order = Window.partitionBy("key").orderBy("first", "second")
-    me = F.struct("first", "second")
-    lined = spread.select("first", "second", F.first(me).over(order).alias("lead"), F.lag(me).over(order).alias("prev"))
+    order = Window.partitionBy("key").orderBy("first", "second", "node")
+    me = F.struct("first", "second", "node")
+    lined = spread.select("first", "second", "node", F.first(me).over(order).alias("lead"), F.lag(me).over(order).alias("prev"))
 
     def near(c):
         return (F.bit_count(F.col("first").bitwiseXOR(F.col(f"{c}.first"))) <= REACH) & (F.bit_count(F.col("second").bitwiseXOR(F.col(f"{c}.second"))) <= REACH)
 
-    other = F.when(me == F.col("lead"), None).when(near("lead"), F.col("lead")).when(near("prev"), F.col("prev"))
-    found = lined.select("first", "second", other.alias("other")).where("other IS NOT NULL")
+    other = F.when(F.col("node") == F.col("lead.node"), None).when(near("lead"), F.col("lead")).when(near("prev"), F.col("prev"))
+    found = lined.select("node", other.alias("other")).where("other IS NOT NULL")
     # the row whose fingerprints come first, which leads the bucket, is ``a``: few nodes lead many
-    pairs = found.select(node_of("other.first", "other.second").alias("a"), node_of("first", "second").alias("b")).distinct()
+    pairs = found.select(F.col("other.node").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
     wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "doc_id", "th")
     wanted = _small(materialise(wanted, "wanted"))
@@ -281,8 +279,8 @@ def drop_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """``df`` with one row of each group of near copies: that of the smallest ``doc_id``.
 
     Two rows link if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more;
-    candidates share a wide Golay key of one of two fingerprints of their 3-word shingles. Rows with both
-    fingerprints equal are one node before anything is joined, so exact copies cost one row. Null and wordless
+    candidates share a wide Golay key of one of two fingerprints of their 3-word shingles. Rows with the same set
+    of shingles are one node before anything is joined, so exact copies cost one row. Null and wordless
     texts are one group; shorter texts than a shingle count as one shingle. Rows with a null id come before all
     others; of rows repeated in full one stays. Columns pass through as they are.
     """
@@ -290,9 +288,9 @@ def drop_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     small_batches(spark)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     texts = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
-    known = materialise(texts.select("doc_id", "th", two_fingerprints_udf("text").alias("fp")).select("doc_id", "th", "fp.first", "fp.second"), "prints")
-    copies = known.groupBy("first", "second").agg(F.min(F.struct("doc_id", "th")).alias("least"))
-    nodes = materialise(copies.select(node_of("first", "second").alias("node"), "first", "second", "least.doc_id", "least.th"), "nodes")
+    known = materialise(texts.select("doc_id", "th", prints_udf(shingle)("text").alias("fp")).select("doc_id", "th", "fp.*"), "prints")
+    copies = known.groupBy("node").agg(F.min(F.struct("doc_id", "th", "first", "second")).alias("least"))
+    nodes = materialise(copies.select("node", "least.*"), "nodes")
     groups = components(near_links(nodes, texts, shingle, similarity))
     kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("doc_id", "th")).alias("least")).select("least.doc_id", "least.th")
     kept = _small(materialise(kept, "kept"))

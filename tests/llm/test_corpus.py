@@ -194,6 +194,17 @@ def test_near_copies(spark, docs):
     assert simhash.drop_near_copies(empty(spark)).count() == 0
 
 
+def test_equal_fingerprints_are_no_copies(spark):
+    rng = random.Random(12)
+    line, rows = "this line comes again here".split(), []
+    for d in range(6):
+        own = text(rng, 2750, 10**6).split()
+        rows.append((d, " ".join(own[:2000] + line * 450 + own[2000:]), "en", "s", 0))
+    prints = {simhash.fingerprint(r[1]) for r in rows}
+    assert len(prints) < len(rows)
+    assert {r["doc_id"] for r in rows_of(simhash.drop_near_copies(spark.createDataFrame(rows, DOCS)))} == set(range(6))
+
+
 # -- archives ---------------------------------------------------------------------------------------
 
 PAGES = "page_id bigint, url string, html string"
