@@ -159,7 +159,7 @@ def fingerprint_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     return known.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# -- near copies: wide keys, then the exact similarity of shingle sets -----------------------------
+# -- near copies: wide keys, then prefixes of shingle sets for what those miss ---------------------
 
 #: Differing bits up to which a pair from a bucket is verified, in each of the two fingerprints.
 REACH = 16
@@ -175,17 +175,55 @@ def shingle_set(text: str, shingle: int, kind: str = "<u4") -> bytes:
     return np.unique(np.concatenate(pieces)).tobytes() if pieces else b""
 
 
-def prints_udf(shingle: int):
-    """Two fingerprints, and a number for the set of shingles: texts of one set are one node."""
+#: Common shingles go last in the order of a set: those of so many documents at least of one in ``SAMPLE``, the most
+#: common ``COMMON`` of them. Any order that is the same for all sets loses no pair; this one makes buckets small.
+SAMPLE, COMMON, COMMON_IN = 16, 1 << 16, 3
 
-    @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("first", "second", "node")]))
+
+def shingles_udf(shingle: int):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def shingles(text: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(shingle_set(t, shingle, "<u8"), "<i8") for t in text])
+
+    return shingles
+
+
+def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles that many documents have, rarer ones first."""
+    some = texts.where(F.pmod(F.xxhash64("th"), F.lit(SAMPLE)) == 0).select(F.explode(shingles_udf(shingle)("text")).alias("s"))
+    counts = some.groupBy("s").count().where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "s").limit(COMMON)
+    return counts.toArrow().column("s").to_numpy()[::-1].view(np.uint64)
+
+
+def prefix_of(hashes: np.ndarray, common: np.ndarray, by_hash: np.ndarray, similarity: float) -> np.ndarray:
+    """The first elements of a set in the common order: two sets of that similarity share one of these at least.
+
+    ``common`` is in its order, ``by_hash`` its argsort.
+    """
+    n = len(hashes)
+    wanted = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    if not len(common):
+        return hashes[:wanted]
+    at = np.minimum(np.searchsorted(common, hashes, sorter=by_hash), len(common) - 1)
+    known = common[by_hash[at]] == hashes
+    return np.concatenate([hashes[~known], common[np.sort(by_hash[at[known]])]])[:wanted]
+
+
+def prints_udf(shingle: int, similarity: float, common):
+    """Two fingerprints; of the set of shingles a number, by which texts of one set are one node, its size and prefix."""
+    kinds = {"first": T.LongType(), "second": T.LongType(), "node": T.LongType(), "n": T.IntegerType(), "prefix": T.ArrayType(T.LongType())}
+
+    @F.pandas_udf(T.StructType([T.StructField(c, kind) for c, kind in kinds.items()]))
     def prints(text: pd.Series) -> pd.DataFrame:
         forget()
+        order, by_hash = common.value
         out = []
         for t in text:
-            pieces = list(shingle_hashes(words_of(t), 3))
-            out.append((majority(pieces), majority([mixed(h) for h in pieces]), xxhash.xxh64_intdigest(shingle_set(t, shingle, "<u8"), SEED)))
-        return pd.DataFrame({c: signed([x[i] for x in out]) for i, c in enumerate(("first", "second", "node"))})
+            pieces, whole = list(shingle_hashes(words_of(t), 3)), shingle_set(t, shingle, "<u8")
+            hashes = np.frombuffer(whole, "<u8")
+            out.append((majority(pieces), majority([mixed(h) for h in pieces]), xxhash.xxh64_intdigest(whole, SEED), len(hashes), prefix_of(hashes, order, by_hash, similarity).view(np.int64)))
+        columns = dict(zip(kinds, zip(*out), strict=True)) if out else dict.fromkeys(kinds, ())
+        return pd.DataFrame({c: signed(v) if c in ("first", "second", "node") else pd.Series(v, dtype="int32" if c == "n" else object) for c, v in columns.items()})
 
     return prints
 
@@ -193,7 +231,7 @@ def prints_udf(shingle: int):
 def set_udf(shingle: int):
     @F.pandas_udf(T.BinaryType())
     def sets(text: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle) for t in text])
+        return pd.Series([shingle_set(t, shingle, "<u8") for t in text])
 
     return sets
 
@@ -216,7 +254,7 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 @F.pandas_udf(T.BinaryType())
 def sketch_udf(sets: pd.Series) -> pd.Series:
-    return pd.Series([sketch(np.frombuffer(s, "<u4")) for s in sets])
+    return pd.Series([sketch(np.frombuffer(s, "<u8")) for s in sets])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -230,7 +268,7 @@ def likeness_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 def jaccard_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b):
-        x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+        x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
         both = len(np.intersect1d(x, y, assume_unique=True))
         out.append(both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0)
     return pd.Series(out)
@@ -240,8 +278,28 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, slack: float | None = None) -> DataFrame:
+    """Those of the distinct pairs ``a, b`` of nodes whose sets have the similarity, ``a`` being the one of many pairs.
+
+    With ``slack``, pairs whose sketches estimate less than the similarity by more than that are left out.
+    """
+    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "doc_id", "th")
+    wanted = _small(materialise(wanted, "wanted"))
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select(wanted["node"], "text")
+    sets = found.select("node", set_udf(shingle)("text").alias("s")).dropDuplicates(["node"])
+    sets = materialise(sets if slack is None else sets.withColumn("k", sketch_udf("s")), "sets")
+    if slack is not None:  # most pairs are far from alike, which their sketches show without the sets
+        seen = pairs.join(sets.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(sets.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+        pairs = materialise(seen.where(likeness_udf("ka", "kb") >= similarity - slack).select("a", "b"), "close")
+    # only the led rows' sets are dealt out once for each pair, those of the leaders once
+    leaders = sets.join(_small(pairs.select(F.col("a").alias("node")).distinct()), "node").select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    led = sets.join(_small(pairs.withColumnRenamed("b", "node")), "node").select("a", F.col("node").alias("b"), F.col("s").alias("sb"))
+    both = led.join(leaders.hint("merge"), "a")
+    return materialise(both.where(jaccard_udf("sa", "sb") >= similarity).select("a", "b"), "near")
+
+
 def near_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Verified links ``a, b`` between node numbers. ``nodes``: ``node, first, second, doc_id, th``.
+    """Verified links ``a, b`` between node numbers, most of them. ``nodes``: ``node, first, second, doc_id, th``.
 
     Within a bucket of a key the rows are in the order of their fingerprints, and each is paired with the bucket's
     first row or, where that is out of reach, with the row before it: as many pairs as rows, never all pairs of a
@@ -261,25 +319,55 @@ def near_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     # the row whose fingerprints come first, which leads the bucket, is ``a``: few nodes lead many
     pairs = found.select(F.col("other.node").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "doc_id", "th")
-    wanted = _small(materialise(wanted, "wanted"))
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select(wanted["node"], "text")
-    sets = materialise(found.select("node", set_udf(shingle)("text").alias("s")).dropDuplicates(["node"]).withColumn("k", sketch_udf("s")), "sets")
-    # most pairs are far from alike, which their sketches show without the sets
-    seen = pairs.join(sets.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(sets.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
-    pairs = materialise(seen.where(likeness_udf("ka", "kb") >= similarity - SLACK).select("a", "b"), "close")
-    # only the led rows' sets are dealt out once for each pair, those of the leaders once
-    leaders = sets.join(_small(pairs.select(F.col("a").alias("node")).distinct()), "node").select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    led = sets.join(_small(pairs.withColumnRenamed("b", "node")), "node").select("a", F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = led.join(leaders.hint("merge"), "a")
-    return both.where(jaccard_udf("sa", "sb") >= similarity).select("a", "b")
+    return verified(pairs, nodes, texts, shingle, similarity, SLACK)
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one group."""
+    bucket = Window.partitionBy("key")
+    return rows.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket)}).where("lo <> hi").drop("lo", "hi")
+
+
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with ``c``, the group of their ``node``, which is its own where ``groups`` has none."""
+    return rows.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+
+def _can_reach(a, b, similarity: float):
+    """Whether a bucket's element may be the first that two sets of that similarity share: enough must follow in both."""
+    after = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
+    return (a["c"] != b["c"]) & (after >= similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-6)
+
+
+def missed_links(nodes: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Verified links ``a, b`` that join groups of ``links`` to the groups of all links. None is missed.
+
+    Two sets of that similarity share an element of their prefixes. Buckets of one group have nothing to add; in the
+    others each row is first tried against the bucket's first row, which joins large groups at the cost of their rows,
+    and then all pairs of rows in different groups are tried.
+    """
+    parts = max(KEY_PARTS, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # the group of a node is null where it is its own: fewer bytes to deal
+    placed = nodes.select("node", "n", "prefix").join(components(links), "node", "left").withColumn("c", F.when(F.col("component") != F.col("node"), F.col("component")))
+    rows = placed.select("node", "n", "c", F.posexplode("prefix").alias("pos", "key")).repartition(parts, "key")
+    rows = materialise(_mixed(rows.withColumn("c", F.coalesce("c", "node"))), "mixed")
+    lead = F.first(F.struct("node", "n", "pos", "c")).over(Window.partitionBy("key").orderBy("node"))
+    led = rows.withColumn("lead", lead).where(_can_reach({c: F.col(f"lead.{c}") for c in ("n", "pos", "c")}, {c: F.col(c) for c in ("n", "pos", "c")}, similarity))
+    more = verified(materialise(led.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "led"), nodes, texts, shingle, similarity)
+    links = links.union(more)
+    rows = materialise(_mixed(_grouped(rows.drop("c"), components(links))), "mixed")
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "c"))) for x in "ab")
+    reach = _can_reach(*({c: F.col(f"{c}_{x}") for c in ("n", "pos", "c")} for x in "ab"), similarity)
+    pairs = a.join(b, (a["key"] == b["key"]) & (a["node_a"] < b["node_b"]) & reach).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return more.union(verified(materialise(pairs, "rest"), nodes, texts, shingle, similarity))
 
 
 def drop_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``df`` with one row of each group of near copies: that of the smallest ``doc_id``.
 
-    Two rows link if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more;
-    candidates share a wide Golay key of one of two fingerprints of their 3-word shingles. Rows with the same set
+    Two rows link if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more.
+    Most links are found among rows that share a wide Golay key of one of two fingerprints of their 3-word shingles;
+    the prefixes of the sets give all that these leave between groups. Rows with the same set
     of shingles are one node before anything is joined, so exact copies cost one row. Null and wordless
     texts are one group; shorter texts than a shingle count as one shingle. Rows with a null id come before all
     others; of rows repeated in full one stays. Columns pass through as they are.
@@ -288,10 +376,13 @@ def drop_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     small_batches(spark)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     texts = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
-    known = materialise(texts.select("doc_id", "th", prints_udf(shingle)("text").alias("fp")).select("doc_id", "th", "fp.*"), "prints")
-    copies = known.groupBy("node").agg(F.min(F.struct("doc_id", "th", "first", "second")).alias("least"))
+    common = common_shingles(texts, shingle)
+    common = spark.sparkContext.broadcast((common, np.argsort(common)))
+    known = materialise(texts.select("doc_id", "th", prints_udf(shingle, similarity, common)("text").alias("fp")).select("doc_id", "th", "fp.*"), "prints")
+    copies = known.groupBy("node").agg(F.min(F.struct("doc_id", "th", "first", "second", "n", "prefix")).alias("least"))
     nodes = materialise(copies.select("node", "least.*"), "nodes")
-    groups = components(near_links(nodes, texts, shingle, similarity))
+    links = near_links(nodes, texts, shingle, similarity)
+    groups = components(links.union(missed_links(nodes, texts, links, shingle, similarity)))
     kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("doc_id", "th")).alias("least")).select("least.doc_id", "least.th")
     kept = _small(materialise(kept, "kept"))
     inner = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(body).alias("_th"))

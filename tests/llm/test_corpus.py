@@ -205,6 +205,40 @@ def test_equal_fingerprints_are_no_copies(spark):
     assert {r["doc_id"] for r in rows_of(simhash.drop_near_copies(spark.createDataFrame(rows, DOCS)))} == set(range(6))
 
 
+def brute_kept(texts, similarity=0.8):
+    """Least positions of the groups, by counting what every two sets share."""
+    sets = [np.frombuffer(simhash.shingle_set(t, 5, "<u8"), "<u8") for t in texts]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for h in s.tolist():
+            holders[h].append(i)
+    alone = np.array([sum(len(holders[h]) == len(sets) for h in s.tolist()) for s in sets])
+    everywhere, both, links = int(alone.min()), Counter(), []
+    for h in holders.values():
+        if len(h) < len(sets):
+            both.update((a, b) for k, b in enumerate(h) for a in h[:k])
+    for (a, b), n in both.items():
+        n += everywhere
+        if n / (len(sets[a]) + len(sets[b]) - n) >= similarity:
+            links.append((a, b))
+    return set(brute_components(range(len(texts)), links).values())
+
+
+def test_twins_around_a_shared_passage(spark):
+    rng = random.Random(21)
+    passage, texts = text(rng, 300, 10**6), []
+    for _ in range(1500):
+        own = text(rng, 60, 10**6).split()
+        texts.append(f"{passage} {' '.join(own)}")
+        for at in rng.sample(range(4, 56), 4):
+            own[at] = "changed"
+        texts.append(f"{passage} {' '.join(own)}")
+    want = brute_kept(texts)
+    assert 1500 <= len(want) < 1600
+    got = rows_of(simhash.drop_near_copies(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)))
+    assert sorted(r["doc_id"] for r in got) == sorted(want)
+
+
 # -- archives ---------------------------------------------------------------------------------------
 
 PAGES = "page_id bigint, url string, html string"
