@@ -236,20 +236,14 @@ def set_udf(shingle: int):
     return sets
 
 
-#: Minima kept of a shingle set, a byte each, and how far below the similarity they may estimate a pair that is
-#: still verified: over three standard errors.
-SKETCH, SLACK = 128, 0.12
+#: Bits of a sketch.
+SKETCH = 2048
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """A byte of the least value of the set under each of so many multiplicative hashes."""
-    rng = np.random.default_rng(SEED)
-    factors, shifts = rng.integers(0, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
-    least = np.full(SKETCH, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(hashes), PIECE // 16):
-        part = hashes[at : at + PIECE // 16].astype(np.uint32)
-        least = np.minimum(least, (part[:, None] * factors + shifts).min(axis=0))
-    return ((least >> np.uint32(12)) & np.uint32(255)).astype(np.uint8).tobytes()
+    """The size of a set, and for each of so many classes of its elements whether it has an odd number of them."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return len(hashes).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 @F.pandas_udf(T.BinaryType())
@@ -257,11 +251,18 @@ def sketch_udf(sets: pd.Series) -> pd.Series:
     return pd.Series([sketch(np.frombuffer(s, "<u8")) for s in sets])
 
 
-@F.pandas_udf(T.DoubleType())
-def likeness_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity that two sketches estimate; equal bytes by chance are taken off."""
-    equal = np.array([(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean() for x, y in zip(a, b)], dtype=float)
-    return pd.Series((equal - 1 / 256) / (1 - 1 / 256))
+def may_be_alike(x: bytes, y: bytes, similarity: float) -> bool:
+    """False only if the sets are less alike: they differ in at least as many elements as their sketches in bits."""
+    most = (1 - similarity) / (1 + similarity) * (int.from_bytes(x[:4], "little") + int.from_bytes(y[:4], "little")) + 1e-6
+    return (int.from_bytes(x[4:], "little") ^ int.from_bytes(y[4:], "little")).bit_count() <= most
+
+
+def alike_udf(similarity: float):
+    @F.pandas_udf(T.BooleanType())
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([may_be_alike(x, y, similarity) for x, y in zip(a, b)], dtype=bool)
+
+    return alike
 
 
 @F.pandas_udf(T.DoubleType())
@@ -278,19 +279,16 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, slack: float | None = None) -> DataFrame:
-    """Those of the distinct pairs ``a, b`` of nodes whose sets have the similarity, ``a`` being the one of many pairs.
-
-    With ``slack``, pairs whose sketches estimate less than the similarity by more than that are left out.
-    """
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the distinct pairs ``a, b`` of nodes whose sets have the similarity, ``a`` being the one of many pairs."""
     wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "doc_id", "th")
     wanted = _small(materialise(wanted, "wanted"))
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select(wanted["node"], "text")
     sets = found.select("node", set_udf(shingle)("text").alias("s")).dropDuplicates(["node"])
-    sets = materialise(sets if slack is None else sets.withColumn("k", sketch_udf("s")), "sets")
-    if slack is not None:  # most pairs are far from alike, which their sketches show without the sets
-        seen = pairs.join(sets.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(sets.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
-        pairs = materialise(seen.where(likeness_udf("ka", "kb") >= similarity - slack).select("a", "b"), "close")
+    sets = materialise(sets.withColumn("k", sketch_udf("s")), "sets")
+    # most pairs are far from alike, which their sketches show without the sets
+    seen = pairs.join(sets.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(sets.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+    pairs = materialise(seen.where(alike_udf(similarity)("ka", "kb")).select("a", "b"), "close")
     # only the led rows' sets are dealt out once for each pair, those of the leaders once
     leaders = sets.join(_small(pairs.select(F.col("a").alias("node")).distinct()), "node").select(F.col("node").alias("a"), F.col("s").alias("sa"))
     led = sets.join(_small(pairs.withColumnRenamed("b", "node")), "node").select("a", F.col("node").alias("b"), F.col("s").alias("sb"))
@@ -319,7 +317,7 @@ def near_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     # the row whose fingerprints come first, which leads the bucket, is ``a``: few nodes lead many
     pairs = found.select(F.col("other.node").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
-    return verified(pairs, nodes, texts, shingle, similarity, SLACK)
+    return verified(pairs, nodes, texts, shingle, similarity)
 
 
 def _mixed(rows: DataFrame) -> DataFrame:

@@ -239,6 +239,30 @@ def test_twins_around_a_shared_passage(spark):
     assert sorted(r["doc_id"] for r in got) == sorted(want)
 
 
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 60, 400, 9000):
+        for _ in range(60):
+            x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            gone = int(rng.integers(0, n // 4 + 1))
+            y = np.concatenate([x[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, gone + 1)), dtype=np.uint64)])
+            both = n - gone
+            if both / (n + len(y) - both) >= 0.8:
+                assert simhash.may_be_alike(simhash.sketch(x), simhash.sketch(y), 0.8)
+    far = [simhash.sketch(rng.integers(0, 1 << 63, 400, dtype=np.uint64)) for _ in range(2)]
+    assert not simhash.may_be_alike(*far, 0.8)
+
+
+def test_copies_that_repeat_a_line(spark):
+    rng = random.Random(31)
+    texts = []
+    for _ in range(30):
+        own, line = text(rng, 300, 10**6).split(), text(rng, 12, 10**6).split()
+        texts += [" ".join(own + line), " ".join(own + line * 24)]
+    kept = rows_of(simhash.drop_near_copies(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)))
+    assert brute_kept(texts) == {*range(0, 60, 2)} == {r["doc_id"] for r in kept}
+
+
 # -- archives ---------------------------------------------------------------------------------------
 
 PAGES = "page_id bigint, url string, html string"
