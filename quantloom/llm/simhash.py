@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,16 +45,6 @@ def shingle_hashes(words: list[bytes], size: int):
         yield np.fromiter((digest(b" ".join(words[i : i + size]), SEED) for i in range(at, end)), dtype="<u8", count=end - at)
 
 
-def mixed(hashes: np.ndarray) -> np.ndarray:
-    """A second, independent-looking hash of the same shingles (finaliser of splitmix64: fixed constants)."""
-    x = hashes.copy()
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def majority(pieces: list[np.ndarray]) -> int:
     """Bits set in over half of the hashes; zero without hashes."""
     ones, n = np.zeros(BITS, dtype=np.int64), 0
@@ -101,12 +91,6 @@ def right_keys(prints: np.ndarray) -> np.ndarray:
     return np.concatenate([(p << 24) | (plain[a][:, None] << 12) | near[b] for p, (a, b) in enumerate(PAIRS)], axis=1)
 
 
-def wide_keys(prints: np.ndarray) -> np.ndarray:
-    """Near keys in both segments of each pair: tolerates two differing bits in either."""
-    near = [golay.near_keys(s) for s in _segments(prints)]
-    return np.concatenate([((p << 24) | (near[a][:, :, None] << 12) | near[b][:, None, :]).reshape(len(prints), 36) for p, (a, b) in enumerate(PAIRS)], axis=1)
-
-
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def left_keys_udf(fp: pd.Series) -> pd.Series:
     return _rows(left_keys(fp.to_numpy(np.int64)))
@@ -118,9 +102,9 @@ def right_keys_udf(fp: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def wide_keys_udf(first: pd.Series, second: pd.Series) -> pd.Series:
-    keys = [wide_keys(s.to_numpy(np.int64)) for s in (first, second)]
-    return _rows(np.concatenate([keys[0], keys[1] + (3 << 24)], axis=1))
+def all_keys_udf(fp: pd.Series) -> pd.Series:
+    prints = fp.to_numpy(np.int64)
+    return _rows(np.concatenate([left_keys(prints), right_keys(prints)], axis=1))
 
 
 # -- links within three bits: every one -----------------------------------------------------------
@@ -159,31 +143,29 @@ def fingerprint_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     return known.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# -- near copies: wide keys, then prefixes of shingle sets for what those miss ---------------------
+# -- near copies: Golay keys, then prefixes of shingle sets for what those miss ---------------------
 
-#: Differing bits up to which a pair from a bucket is verified, in each of the two fingerprints.
-REACH = 16
+#: Differing bits up to which a pair from a bucket is verified.
+REACH = 18
 #: Rows of a key table up to which it is broadcast (at most 32 bytes each); beyond it the join shuffles.
 BROADCAST_KEYS = 1_000_000
-#: Parts over which the rows of keys are dealt, at least: more than a document has keys, so that a part seldom gets two
-#: rows of one document, and the bytes of a row are the same for small tables as for large ones.
-KEY_PARTS = 256
-
-def shingle_set(text: str, shingle: int, kind: str = "<u4") -> bytes:
-    """Distinct shingle hashes, ascending, the low 32 bits or as many as ``kind`` has."""
-    pieces = [h.astype(kind) for h in shingle_hashes(words_of(text), shingle)]
-    return np.unique(np.concatenate(pieces)).tobytes() if pieces else b""
-
-
 #: Common shingles go last in the order of a set: those of so many documents at least of one in ``SAMPLE``, the most
 #: common ``COMMON`` of them. Any order that is the same for all sets loses no pair; this one makes buckets small.
 SAMPLE, COMMON, COMMON_IN = 16, 1 << 16, 3
+#: Bits of a sketch.
+SKETCH = 2048
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Distinct shingle hashes, ascending."""
+    pieces = list(shingle_hashes(words_of(text), shingle))
+    return np.unique(np.concatenate(pieces)) if pieces else np.zeros(0, "<u8")
 
 
 def shingles_udf(shingle: int):
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def shingles(text: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(shingle_set(t, shingle, "<u8"), "<i8") for t in text])
+        return pd.Series([shingle_set(t, shingle).view("<i8") for t in text])
 
     return shingles
 
@@ -209,9 +191,21 @@ def prefix_of(hashes: np.ndarray, common: np.ndarray, by_hash: np.ndarray, simil
     return np.concatenate([hashes[~known], common[np.sort(by_hash[at[known]])]])[:wanted]
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """The size of a set, and for each of so many classes of its elements whether it has an odd number of them."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return len(hashes).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_be_alike(x: bytes, y: bytes, similarity: float) -> bool:
+    """False only if the sets are less alike: they differ in at least as many elements as their sketches in bits."""
+    most = (1 - similarity) / (1 + similarity) * (int.from_bytes(x[:4], "little") + int.from_bytes(y[:4], "little")) + 1e-6
+    return (int.from_bytes(x[4:], "little") ^ int.from_bytes(y[4:], "little")).bit_count() <= most
+
+
 def prints_udf(shingle: int, similarity: float, common):
-    """Two fingerprints; of the set of shingles a number, by which texts of one set are one node, its size and prefix."""
-    kinds = {"first": T.LongType(), "second": T.LongType(), "node": T.LongType(), "n": T.IntegerType(), "prefix": T.ArrayType(T.LongType())}
+    """Of a text's set of shingles: its number, by which texts of one set are one node, size, fingerprint, prefix, sketch."""
+    kinds = {"node": T.LongType(), "n": T.IntegerType(), "fp": T.LongType(), "prefix": T.ArrayType(T.LongType()), "sketch": T.BinaryType()}
 
     @F.pandas_udf(T.StructType([T.StructField(c, kind) for c, kind in kinds.items()]))
     def prints(text: pd.Series) -> pd.DataFrame:
@@ -219,11 +213,10 @@ def prints_udf(shingle: int, similarity: float, common):
         order, by_hash = common.value
         out = []
         for t in text:
-            pieces, whole = list(shingle_hashes(words_of(t), 3)), shingle_set(t, shingle, "<u8")
-            hashes = np.frombuffer(whole, "<u8")
-            out.append((majority(pieces), majority([mixed(h) for h in pieces]), xxhash.xxh64_intdigest(whole, SEED), len(hashes), prefix_of(hashes, order, by_hash, similarity).view(np.int64)))
+            s = shingle_set(t, shingle)
+            out.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), majority([s]), prefix_of(s, order, by_hash, similarity).view("<i8"), sketch(s)))
         columns = dict(zip(kinds, zip(*out), strict=True)) if out else dict.fromkeys(kinds, ())
-        return pd.DataFrame({c: signed(v) if c in ("first", "second", "node") else pd.Series(v, dtype="int32" if c == "n" else object) for c, v in columns.items()})
+        return pd.DataFrame({c: signed(v) if c in ("node", "fp") else pd.Series(v, dtype="int32" if c == "n" else object) for c, v in columns.items()})
 
     return prints
 
@@ -231,32 +224,11 @@ def prints_udf(shingle: int, similarity: float, common):
 def set_udf(shingle: int):
     @F.pandas_udf(T.BinaryType())
     def sets(text: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle, "<u8") for t in text])
+        return pd.Series([shingle_set(t, shingle).tobytes() for t in text])
 
     return sets
 
 
-#: Bits of a sketch.
-SKETCH = 2048
-
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """The size of a set, and for each of so many classes of its elements whether it has an odd number of them."""
-    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
-    return len(hashes).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-@F.pandas_udf(T.BinaryType())
-def sketch_udf(sets: pd.Series) -> pd.Series:
-    return pd.Series([sketch(np.frombuffer(s, "<u8")) for s in sets])
-
-
-def may_be_alike(x: bytes, y: bytes, similarity: float) -> bool:
-    """False only if the sets are less alike: they differ in at least as many elements as their sketches in bits."""
-    most = (1 - similarity) / (1 + similarity) * (int.from_bytes(x[:4], "little") + int.from_bytes(y[:4], "little")) + 1e-6
-    return (int.from_bytes(x[4:], "little") ^ int.from_bytes(y[4:], "little")).bit_count() <= most
-
-
 def alike_udf(similarity: float):
     @F.pandas_udf(T.BooleanType())
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -280,58 +252,48 @@ def _small(keys: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the distinct pairs ``a, b`` of nodes whose sets have the similarity, ``a`` being the one of many pairs."""
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "doc_id", "th")
-    wanted = _small(materialise(wanted, "wanted"))
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select(wanted["node"], "text")
-    sets = found.select("node", set_udf(shingle)("text").alias("s")).dropDuplicates(["node"])
-    sets = materialise(sets.withColumn("k", sketch_udf("s")), "sets")
+    """Those of the distinct pairs ``a, b`` of nodes whose sets have the similarity."""
     # most pairs are far from alike, which their sketches show without the sets
-    seen = pairs.join(sets.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(sets.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+    pairs = materialise(pairs, "pairs")
+    sought = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sketches = nodes.select("node", "sketch").join(_small(sought), "node")
+    seen = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb")), "b")
     pairs = materialise(seen.where(alike_udf(similarity)("ka", "kb")).select("a", "b"), "close")
-    # only the led rows' sets are dealt out once for each pair, those of the leaders once
-    leaders = sets.join(_small(pairs.select(F.col("a").alias("node")).distinct()), "node").select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    led = sets.join(_small(pairs.withColumnRenamed("b", "node")), "node").select("a", F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = led.join(leaders.hint("merge"), "a")
+    wanted = nodes.select("node", "doc_id", "th").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    wanted = _small(materialise(wanted, "wanted"))
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select(wanted["node"], "text")
+    sets = materialise(found.select("node", set_udf(shingle)("text").alias("s")).dropDuplicates(["node"]), "sets")
+    # the sets of many nodes are dealt out once for each pair, those of the few that many are compared with once
+    led = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    both = led.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     return materialise(both.where(jaccard_udf("sa", "sb") >= similarity).select("a", "b"), "near")
 
 
 def near_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Verified links ``a, b`` between node numbers, most of them. ``nodes``: ``node, first, second, doc_id, th``.
+    """Verified links ``a, b`` between node numbers: all of those between sets whose fingerprints are close, as groups.
 
-    Within a bucket of a key the rows are in the order of their fingerprints, and each is paired with the bucket's
-    first row or, where that is out of reach, with the row before it: as many pairs as rows, never all pairs of a
-    bucket. A document is in about 170 buckets, each with other company.
+    Each row of a bucket of a Golay key is tried against the bucket's least row: as many pairs as rows, never all
+    pairs of a bucket. The least rows are found by an aggregate, so a bucket of any size is combined where it lies.
     """
-    spread = nodes.select("first", "second", "node", F.explode(wide_keys_udf("first", "second")).alias("key")).withColumn("key", F.col("key").cast("int"))
-    spread = spread.repartition(max(KEY_PARTS, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key")
-    order = Window.partitionBy("key").orderBy("first", "second", "node")
-    me = F.struct("first", "second", "node")
-    lined = spread.select("first", "second", "node", F.first(me).over(order).alias("lead"), F.lag(me).over(order).alias("prev"))
-
-    def near(c):
-        return (F.bit_count(F.col("first").bitwiseXOR(F.col(f"{c}.first"))) <= REACH) & (F.bit_count(F.col("second").bitwiseXOR(F.col(f"{c}.second"))) <= REACH)
-
-    other = F.when(F.col("node") == F.col("lead.node"), None).when(near("lead"), F.col("lead")).when(near("prev"), F.col("prev"))
-    found = lined.select("node", other.alias("other")).where("other IS NOT NULL")
-    # the row whose fingerprints come first, which leads the bucket, is ``a``: few nodes lead many
-    pairs = found.select(F.col("other.node").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
-    return verified(pairs, nodes, texts, shingle, similarity)
+    rows = nodes.select("fp", "node", F.explode(all_keys_udf("fp")).alias("key")).withColumn("key", F.col("key").cast("int"))
+    lead = rows.groupBy("key").agg(F.min(F.struct("fp", "node")).alias("lead"), F.count("*").alias("m")).where("m > 1")
+    found = rows.join(lead.select("key", F.col("lead.fp").alias("other"), F.col("lead.node").alias("a")), "key")
+    found = found.where((F.col("a") != F.col("node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= REACH))
+    return verified(found.select("a", F.col("node").alias("b")).distinct(), nodes, texts, shingle, similarity)
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one group."""
-    bucket = Window.partitionBy("key")
-    return rows.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket)}).where("lo <> hi").drop("lo", "hi")
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one group ``c``."""
+    keys = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(keys, "key", "left_semi")
 
 
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` with ``c``, the group of their ``node``, which is its own where ``groups`` has none."""
-    return rows.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    return rows.drop("c").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
 
-def _can_reach(a, b, similarity: float):
+def _can_reach(a: dict, b: dict, similarity: float):
     """Whether a bucket's element may be the first that two sets of that similarity share: enough must follow in both."""
     after = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
     return (a["c"] != b["c"]) & (after >= similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-6)
@@ -340,48 +302,51 @@ def _can_reach(a, b, similarity: float):
 def missed_links(nodes: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Verified links ``a, b`` that join groups of ``links`` to the groups of all links. None is missed.
 
-    Two sets of that similarity share an element of their prefixes. Buckets of one group have nothing to add; in the
-    others each row is first tried against the bucket's first row, which joins large groups at the cost of their rows,
-    and then all pairs of rows in different groups are tried.
+    Two sets of that similarity share an element of their prefixes. Most elements are in one prefix alone and go
+    first. Of the others, buckets of one group have nothing to add; in the rest each row is first tried against the
+    bucket's least row, which joins large groups at the cost of their rows, and then all pairs in different groups.
     """
-    parts = max(KEY_PARTS, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # the group of a node is null where it is its own: fewer bytes to deal
-    placed = nodes.select("node", "n", "prefix").join(components(links), "node", "left").withColumn("c", F.when(F.col("component") != F.col("node"), F.col("component")))
-    rows = placed.select("node", "n", "c", F.posexplode("prefix").alias("pos", "key")).repartition(parts, "key")
-    rows = materialise(_mixed(rows.withColumn("c", F.coalesce("c", "node"))), "mixed")
-    lead = F.first(F.struct("node", "n", "pos", "c")).over(Window.partitionBy("key").orderBy("node"))
-    led = rows.withColumn("lead", lead).where(_can_reach({c: F.col(f"lead.{c}") for c in ("n", "pos", "c")}, {c: F.col(c) for c in ("n", "pos", "c")}, similarity))
-    more = verified(materialise(led.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "led"), nodes, texts, shingle, similarity)
-    links = links.union(more)
-    rows = materialise(_mixed(_grouped(rows.drop("c"), components(links))), "mixed")
+    rows = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    shared = rows.groupBy("key").count().where("count > 1").select("key")
+    rows = materialise(rows.join(shared, "key", "left_semi"), "shared")
+    rows = materialise(_several(_grouped(rows, components(links))), "several")
+    lead = rows.groupBy("key").agg(F.min(F.struct("node", "n", "pos", "c")).alias("lead"))
+    led = rows.join(lead, "key").where(_can_reach({c: F.col(f"lead.{c}") for c in ("n", "pos", "c")}, {c: F.col(c) for c in ("n", "pos", "c")}, similarity))
+    more = verified(led.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), nodes, texts, shingle, similarity)
+    rows = materialise(_several(_grouped(rows, components(links.union(more)))), "several")
     a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "c"))) for x in "ab")
     reach = _can_reach(*({c: F.col(f"{c}_{x}") for c in ("n", "pos", "c")} for x in "ab"), similarity)
     pairs = a.join(b, (a["key"] == b["key"]) & (a["node_a"] < b["node_b"]) & reach).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    return more.union(verified(materialise(pairs, "rest"), nodes, texts, shingle, similarity))
+    return more.union(verified(pairs, nodes, texts, shingle, similarity))
+
+
+def near_groups(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, th, node`` of each row of ``texts`` (``doc_id, th, text``), and ``node, doc_id, th, component`` of each node."""
+    spark = texts.sparkSession
+    common = common_shingles(texts, shingle)
+    common = spark.sparkContext.broadcast((common, np.argsort(common)))
+    known = materialise(texts.select("doc_id", "th", prints_udf(shingle, similarity, common)("text").alias("p")).select("doc_id", "th", "p.*"), "prints")
+    copies = known.groupBy("node").agg(F.min(F.struct("doc_id", "th", "n", "fp", "prefix", "sketch")).alias("least"))
+    nodes = materialise(copies.select("node", "least.*"), "nodes")
+    links = near_links(nodes, texts, shingle, similarity)
+    groups = components(links.union(missed_links(nodes, texts, links, shingle, similarity)))
+    return known.select("doc_id", "th", "node"), nodes.join(groups, "node", "left").select("node", "doc_id", "th", F.coalesce("component", "node").alias("component"))
 
 
 def drop_near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``df`` with one row of each group of near copies: that of the smallest ``doc_id``.
 
     Two rows link if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more.
-    Most links are found among rows that share a wide Golay key of one of two fingerprints of their 3-word shingles;
-    the prefixes of the sets give all that these leave between groups. Rows with the same set
+    Close ones are found among rows that share a Golay key of the fingerprints of their sets; the prefixes of the
+    sets give all that these leave between groups. Rows with the same set
     of shingles are one node before anything is joined, so exact copies cost one row. Null and wordless
     texts are one group; shorter texts than a shingle count as one shingle. Rows with a null id come before all
     others; of rows repeated in full one stays. Columns pass through as they are.
     """
-    spark = df.sparkSession
-    small_batches(spark)
+    small_batches(df.sparkSession)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    texts = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
-    common = common_shingles(texts, shingle)
-    common = spark.sparkContext.broadcast((common, np.argsort(common)))
-    known = materialise(texts.select("doc_id", "th", prints_udf(shingle, similarity, common)("text").alias("fp")).select("doc_id", "th", "fp.*"), "prints")
-    copies = known.groupBy("node").agg(F.min(F.struct("doc_id", "th", "first", "second", "n", "prefix")).alias("least"))
-    nodes = materialise(copies.select("node", "least.*"), "nodes")
-    links = near_links(nodes, texts, shingle, similarity)
-    groups = components(links.union(missed_links(nodes, texts, links, shingle, similarity)))
-    kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("doc_id", "th")).alias("least")).select("least.doc_id", "least.th")
+    known, nodes = near_groups(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text")), shingle, similarity)
+    kept = nodes.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least")).select("least.doc_id", "least.th")
     kept = _small(materialise(kept, "kept"))
     inner = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(body).alias("_th"))
     stay = inner.join(kept, inner["_id"].eqNullSafe(kept["doc_id"]) & (inner["_th"] == kept["th"]), "left_semi")
