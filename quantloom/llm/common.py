@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,12 @@ _scratch: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where a session has none (single-machine tests) a folder of our own is set.
+    Only where a session on one machine has none (tests) a folder of our own is set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quantloom-{spark.sparkContext.applicationId}")
@@ -74,9 +77,9 @@ def filesystem(uri: str):
     return (fs.LocalFileSystem(), f"/{local.lstrip('/')}") if local.startswith("/") else fs.FileSystem.from_uri(uri)
 
 
-def text_or_empty(df: DataFrame, column: str):
-    """The column as string, null as the empty text."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def as_name(df: DataFrame, column: str):
+    """An id as string, in which it goes through Python: pandas would turn large numbers beside nulls into floats."""
+    return F.col(f"`{column}`").cast("string")
 
 
 def rows_of(spark: SparkSession, json_rows: str, schema: str) -> DataFrame:

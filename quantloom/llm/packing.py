@@ -1,10 +1,12 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm on islands.
 
-Pieces are dealt at random into blocks of bounded size. Every block is bred on a few islands, each in a task of its
-own: a chromosome is a whole packing of the block; crossover injects the well-filled bins of one parent into the
-other, removes the bins that now hold a document twice, and best-fits the displaced documents. Between epochs the
-islands of a block hand their elite to the next island. The bins that even the best packing of a block leaves slack are
-dissolved and bred again with those of other blocks.
+The first packing is best fit by descending length over all pieces, made from the counts of the lengths alone. Its bins
+are dealt at random into blocks of bounded size. Every block that its volume leaves a bin to gain in is bred on a few
+islands, each in a task of its own: a chromosome is a whole packing of the block; crossover injects the well-filled bins
+of one parent into the other, removes the bins that now hold a document twice, and best-fits the displaced documents.
+Between epochs the islands of a block hand their elite to the next island. The bins that a round leaves with room are
+dealt again, with those of other blocks, until one block holds them all or a round fills less than half of what it got.
+A block's packing is one of its founders, so no step takes more sequences than the one before.
 """
 
 from __future__ import annotations
@@ -18,17 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, small_batches
+from .common import as_name, materialise, small_batches
 from .encoding import encoder
 
 CAPACITY = 2048
 #: Pieces of a block, islands that breed it, epochs between which elites move, and what an island does in one.
 BLOCK = 4096
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 3, 6
-#: Fill (share of the capacity) from which a bin is injected, and below which a bin is dissolved for the next round.
-WELL_FILLED, SLACK = 0.995, 0.98
-#: Rounds over dissolved bins.
-ROUNDS = 2
+#: Fill (share of the capacity) from which a bin is injected.
+WELL_FILLED = 0.995
 
 
 # -- one packing: an array with the bin of each item ----------------------------------------------
@@ -107,6 +107,47 @@ def crossover(giver: np.ndarray, taker: np.ndarray, lengths: np.ndarray, capacit
     return np.unique(child, return_inverse=True)[1]
 
 
+def bulk_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
+    """Best fit by descending length of so many items of each length (1 to ``capacity``), without the items.
+
+    ``(length, rank, items, bin)``: of the items of that length, those from ``rank`` on go to the bins from ``bin`` on,
+    so many to a bin, up to the next entry. Bins of equal room are handled as ranges, so there are few entries.
+    """
+    by_room: dict[int, list[tuple[int, int]]] = {}
+    mask, following, out = 0, 0, []
+
+    def put(first: int, n: int, room: int) -> None:
+        nonlocal mask
+        if n and room:
+            by_room.setdefault(room, []).append((first, n))
+            mask |= 1 << room
+
+    for length in sorted(counts, reverse=True):
+        left, rank = counts[length], 0
+        while left:
+            fits = mask >> length
+            if fits:
+                room = length + (fits & -fits).bit_length() - 1
+                first, n = by_room[room].pop()
+                if not by_room[room]:
+                    mask ^= 1 << room
+            else:
+                room, first, n = capacity, following, -(-left // (capacity // length))
+                following += n
+            each = room // length
+            full = min(n, left // each)
+            if full:
+                out.append((length, rank, each, first))
+                rank, left = rank + full * each, left - full * each
+                put(first, full, room - each * length)
+            if full < n and left:  # fewer than one more bin takes
+                out.append((length, rank, left, first + full))
+                put(first + full, 1, room - left * length)
+                full, left = full + 1, 0
+            put(first + full, n - full, room)
+    return out
+
+
 def founders(lengths: np.ndarray, capacity: int, size: int, rng: np.random.Generator) -> list[np.ndarray]:
     """Best fit by descending length, and by orders that stray from it."""
     empty, out = np.full(len(lengths), -1, dtype=np.int64), []
@@ -151,16 +192,17 @@ def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
 def cut(df: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``doc_id`` and the columns of ``PIECES`` for each piece of each document: its ids, then ``end_id``."""
     small_batches(df.sparkSession)
-    kind = df.schema[doc_id].dataType.simpleString()
+    kind = df.schema[doc_id].dataType
     closing = end_id.to_bytes(4, "little")
 
     def run(batches):
         encode = encoder(vocabulary).encode
         for batch in batches:
             rows = [(d, *p) for d, t in zip(batch["doc_id"], batch["text"]) for p in pieces_of(encode(t) + closing, capacity)]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64", "piece": "int32"} if kind in ("bigint", "int") else {"piece": "int32"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": object, "piece": "int32"})
 
-    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, {PIECES}")
+    texts = df.select(as_name(df, doc_id).alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    return texts.mapInPandas(run, f"doc_id string, {PIECES}").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 # -- packing on Spark -----------------------------------------------------------------------------
@@ -171,79 +213,106 @@ def _seed(*parts: int) -> np.random.Generator:
 
 
 def _breed(items: DataFrame, capacity: int, tasks: int) -> DataFrame:
-    """``block, bins``: the best packing of each block, over its items in the order of ``uid``.
+    """``uid, length, block, b``: the items in the bins of the best packing of their block.
 
-    ``items``: ``block, uid, length``. Islands meet only through the elites, one packing of a block each.
+    ``items``: ``block, uid, length, bin``. Islands meet only through the elites, one packing of a block each.
     """
-    worlds = materialise(
-        items.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("uid", F.col("length").cast("int").alias("length")))).alias("all"))
-        .select("block", F.transform("all", lambda x: x["length"]).alias("lengths")).withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))))
-        .repartition(tasks, "block", "island"),
-        "worlds",
-    )
-    state = worlds.select("block", "island", "lengths", F.lit(None).cast("array<array<int>>").alias("population"))
+    listed = items.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("uid", F.col("length").cast("int").alias("length"), "bin"))).alias("all"))
+    fields = [F.col(f"all.{c}").alias(name) for c, name in (("uid", "uids"), ("length", "lengths"), ("bin", "start"))]
+    worlds = materialise(listed.select("block", *fields, F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island")).repartition(tasks, "block", "island"), "worlds")
+    state = worlds.select("block", "island", "lengths", "start", F.lit(None).cast("array<array<int>>").alias("population"))
     for epoch in range(EPOCHS):
 
         @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-        def epoch_of(block: pd.Series, island: pd.Series, lengths: pd.Series, population: pd.Series) -> pd.Series:
+        def epoch_of(block: pd.Series, island: pd.Series, lengths: pd.Series, start: pd.Series, population: pd.Series) -> pd.Series:
             out = []
-            for b, i, n, p in zip(block, island, lengths, population):
+            for b, i, n, own, p in zip(block, island, lengths, start, population):
                 n, rng = np.asarray(n, dtype=np.int64), _seed(b, i, epoch)  # noqa: B023
-                start = founders(n, capacity, POPULATION, rng) if p is None else [np.asarray(c, dtype=np.int64) for c in p]
-                out.append([c.astype(np.int32) for c in evolve(start, n, capacity, GENERATIONS, rng)])
+                first = np.unique(np.asarray(own, dtype=np.int64), return_inverse=True)[1]
+                if -fitness(first, n, capacity)[0] <= -(-int(n.sum()) // capacity):
+                    out.append([first.astype(np.int32)] * POPULATION)
+                    continue
+                begin = [first, *founders(n, capacity, POPULATION - 1, rng)] if p is None else [np.asarray(c, dtype=np.int64) for c in p]
+                out.append([c.astype(np.int32) for c in evolve(begin, n, capacity, GENERATIONS, rng)])
             return pd.Series(out)
 
-        bred = materialise(state.select("block", "island", "lengths", epoch_of("block", "island", "lengths", "population").alias("population")), "islands")
+        bred = materialise(state.select("block", "island", "lengths", "start", epoch_of("block", "island", "lengths", "start", "population").alias("population")), "islands")
         if epoch + 1 < EPOCHS:  # the elite of each island goes to the next one, in place of the worst there
             elite = bred.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.element_at("population", 1).alias("guest"))
-            state = bred.join(elite, ["block", "island"]).select("block", "island", "lengths", F.concat(F.array("guest"), F.slice("population", 1, POPULATION - 1)).alias("population"))
-    best = bred.select("block", F.element_at("population", 1).alias("bins"))
-    used = F.size(F.array_distinct("bins"))
-    return best.groupBy("block").agg(F.min_by("bins", used).alias("bins"))
+            state = bred.join(elite, ["block", "island"]).select("block", "island", "lengths", "start", F.concat(F.array("guest"), F.slice("population", 1, POPULATION - 1)).alias("population"))
+    used = F.size(F.array_distinct(F.element_at("population", 1)))
+    best = bred.groupBy("block").agg(F.min_by(F.element_at("population", 1), used).alias("bins"))
+    return worlds.where("island = 0").join(best, "block").select("block", F.explode(F.arrays_zip("uids", "lengths", "bins")).alias("x")).select(
+        "block", F.col("x.uids").alias("uid"), F.col("x.lengths").cast("bigint").alias("length"), F.col("x.bins").alias("b")
+    )
+
+
+def _first_bins(items: DataFrame, capacity: int) -> DataFrame:
+    """``items`` (``uid, length``) with ``bin``, that of best fit by descending length over all of them.
+
+    The driver sees one count for each length. Items of a length are ranked within the partitions of ``uid``, so a
+    length that most items have is nobody's alone.
+    """
+    counts = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}
+    table = np.array(sorted(bulk_best_fit(counts, capacity)), dtype=np.int64).reshape(-1, 4)
+    held = items.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf(T.LongType())
+    def bin_of(length: pd.Series, rank: pd.Series) -> pd.Series:
+        t, n, r = held.value, length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        at = np.searchsorted((t[:, 0] << 48) | t[:, 1], (n << 48) | r, side="right") - 1
+        return pd.Series(t[at, 3] + (r - t[at, 1]) // t[at, 2])
+
+    own = items.withColumn("p", F.shiftrightunsigned("uid", 33))
+    before = Window.partitionBy("length").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    passed = own.groupBy("p", "length").count().select("p", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("passed"))
+    ranked = own.withColumn("i", F.row_number().over(Window.partitionBy("p", "length").orderBy("uid")) - 1).join(passed, ["p", "length"])
+    return ranked.select("uid", "length", bin_of("length", F.col("i") + F.col("passed")).alias("bin"))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with ``length``, up to ``capacity``) with ``sequence_id`` and ``offset``, gapless from 0 in each sequence.
 
-    Rows are told apart by numbers of a written table, so null ids and repeated rows are packed like any others. An
-    empty table gives an empty result.
+    Takes no more sequences than best fit by descending length over all pieces. Rows are told apart by numbers of a
+    written table, so null ids and repeated rows are packed like any others; pieces of no or null length get a
+    sequence each; columns of ``pieces`` named like a result are replaced. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    staged = materialise(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    full = staged.where(F.col("length") >= capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"))
-    open_ = staged.where(F.col("length") < capacity).select("uid", "length")
-    done, tasks = [full], max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    for step in range(ROUNDS):
-        n = open_.count()
-        if not n:
-            break
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    rows = pieces.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.coalesce(F.col("length").cast("bigint"), F.lit(0)).alias("length"))
+    staged = materialise(rows.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    several = (F.col("length") > 0) & (F.col("length") < capacity)
+    done, tasks = [staged.where(~several).select("uid", (-1 - F.col("uid")).alias("sequence_id"))], max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    open_ = staged.where(several).select("uid", "length")
+    n, step = open_.count(), 0
+    open_ = _first_bins(open_, capacity)
+    while n:
         blocks = -(-n // BLOCK)
-        dealt = materialise(open_.withColumn("block", F.pmod(F.xxhash64(F.lit(step), "uid"), F.lit(blocks)).cast("int")), "dealt")
-        best = _breed(dealt, capacity, min(tasks, blocks * ISLANDS))
-        order = Window.partitionBy("block").orderBy("uid")
-        placed = dealt.withColumn("i", F.row_number().over(order)).join(best, "block").select("uid", "length", "block", F.element_at("bins", F.col("i")).alias("b"))
-        fill = F.sum("length").over(Window.partitionBy("block", "b"))
-        placed = materialise(placed.withColumn("fill", fill), "placed")
-        last = step + 1 == ROUNDS or blocks == 1
-        # numbers of full pieces are negative; a block has about BLOCK pieces, far under 2 ** 20
-        name = (F.lit(step << 56) + F.col("block").cast("bigint") * (1 << 20) + F.col("b")).alias("sequence_id")
-        done.append((placed if last else placed.where(F.col("fill") >= SLACK * capacity)).select("uid", name))
-        if last:
-            break
-        open_ = placed.where(F.col("fill") < SLACK * capacity).select("uid", "length")
+        dealt = open_.withColumn("block", F.pmod(F.xxhash64(F.lit(step), "bin"), F.lit(blocks)).cast("int"))
+        placed = _breed(dealt, capacity, min(tasks, blocks * ISLANDS))
+        # numbers of single pieces are negative; a block has about BLOCK pieces, far under 2 ** 20
+        name = F.lit(step << 56) + F.col("block").cast("bigint") * (1 << 20) + F.col("b")
+        placed = materialise(placed.withColumn("fill", F.sum("length").over(Window.partitionBy("block", "b"))).withColumn("bin", name), "placed")
+        rest = placed.where(F.col("fill") < capacity).select("uid", "length", "bin")
+        last, n = n, 0 if blocks == 1 else rest.count()
+        if 2 * n > last:
+            n = 0
+        done.append((placed.where(F.col("fill") >= capacity) if n else placed).select("uid", F.col("bin").alias("sequence_id")))
+        open_, step = rest, step + 1
     bins = done[0]
     for more in done[1:]:
         bins = bins.union(more)
     before = Window.partitionBy("sequence_id").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
-    out = staged.join(bins, "uid")
-    return out.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint")).drop("uid")
+    out = staged.join(bins, "uid").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every row of ``df``.
 
     A row's ids are those of its whole text (null: empty) and ``end_id``; only longer ones are cut, into pieces of
-    ``capacity`` of which the first may be shorter. No sequence holds more than ``capacity`` ids. Null ids and
-    repeated rows are documents of their own; an empty table gives an empty result.
+    ``capacity`` of which the first may be shorter. No sequence holds more than ``capacity`` ids. Ids may be of any
+    type that its string form casts back to. Null ids and repeated rows are documents of their own; an empty table
+    gives an empty result.
     """
     return pack(cut(df, vocabulary, text, doc_id, capacity, end_id), capacity)
