@@ -1,12 +1,15 @@
 """SimHash fingerprints linked through Golay keys.
 
-A fingerprint is cut into three segments of at most 23 bits, each padded to a Golay word. However the differing bits
-of a pair fall, the two segments that differ least bound what must be tolerated there, so a key is the pair of
-codeword indices of two segments. Keys are joined, pairs are verified, and verified links become components.
+A fingerprint is cut into segments of at most 23 bits, each padded to a Golay word. However three differing bits fall,
+those segments that differ least bound what must be tolerated there, so a key is the tuple of codeword indices of two
+of three segments, or, for so many fingerprints that such keys would be crowded, of three of four. Keys are joined,
+pairs are verified, and verified links become components.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -20,9 +23,10 @@ from .components import components
 from .encoding import forget
 
 BITS = 64
-#: First bit and width of each segment.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: First bit and width of each segment, of the shorter and of the longer keys.
+THREE, FOUR = ((0, 21), (21, 21), (42, 22)), ((0, 16), (16, 16), (32, 16), (48, 16))
+#: Fingerprints beyond which keys are of three segments of four. Both kinds lose no pair within three bits.
+LONG_KEYS_FROM = 1 << 26
 SEED = 42
 #: Shingles hashed at once; longer texts go in pieces.
 PIECE = 1 << 16
@@ -70,58 +74,74 @@ def fingerprint_udf(text: pd.Series) -> pd.Series:
 # -- keys -----------------------------------------------------------------------------------------
 
 
-def _segments(prints: np.ndarray) -> list[np.ndarray]:
+def _segments(prints: np.ndarray, cuts) -> list[np.ndarray]:
     x = prints.view(np.uint64)
-    return [((x >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in SEGMENTS]
-
-
-def _rows(keys: np.ndarray) -> pd.Series:
-    return pd.Series([np.unique(row) for row in keys])
-
+    return [((x >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in cuts]
 
-def left_keys(prints: np.ndarray) -> np.ndarray:
-    """Near keys in the first segment of each pair, the plain index in the second."""
-    plain, near = [golay.decode(s) for s in _segments(prints)], [golay.near_keys(s) for s in _segments(prints)]
-    return np.concatenate([(p << 24) | (near[a] << 12) | plain[b][:, None] for p, (a, b) in enumerate(PAIRS)], axis=1)
 
+def keys_of(prints: np.ndarray, long: bool = False) -> np.ndarray:
+    """A row of keys for each fingerprint (some twice); any two fingerprints within three bits share a key.
 
-def right_keys(prints: np.ndarray) -> np.ndarray:
-    """The plain index in the first segment of each pair, near keys in the second."""
-    plain, near = [golay.decode(s) for s in _segments(prints)], [golay.near_keys(s) for s in _segments(prints)]
-    return np.concatenate([(p << 24) | (plain[a][:, None] << 12) | near[b] for p, (a, b) in enumerate(PAIRS)], axis=1)
-
+    Of three differing bits over three segments, two segments have at most one each; over four, three segments have at
+    most two in all, one each. So for every choice of two segments that may differ, keys take the near indices of the
+    one and the plain index of the other, and the other way round; the third segment, if any, must be equal. The key
+    that has the plain index of the one fingerprint in the first place and of the other in the second is among both's.
+    """
+    cuts = FOUR if long else THREE
+    plain, near = [golay.decode(x) for x in _segments(prints, cuts)], [golay.near_keys(x) for x in _segments(prints, cuts)]
+    out = []
+    for chosen in combinations(range(len(cuts)), len(cuts) - 1):
+        for differ in combinations(chosen, 2):
+            same = [c for c in chosen if c not in differ]
+            for spread in differ:
+                key = np.full((len(prints), 1), len(out) // 2, dtype=np.int64)
+                for c in (*differ, *same):
+                    key = (key << 12) | (near[c] if c == spread else plain[c][:, None])
+                out.append(key)
+    return np.concatenate(out, axis=1)
+
+
+def keys_udf(long: bool):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(fp: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(row) for row in keys_of(fp.to_numpy(np.int64), long)])
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def left_keys_udf(fp: pd.Series) -> pd.Series:
-    return _rows(left_keys(fp.to_numpy(np.int64)))
+    return keys
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def right_keys_udf(fp: pd.Series) -> pd.Series:
-    return _rows(right_keys(fp.to_numpy(np.int64)))
+# -- links within three bits ------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def all_keys_udf(fp: pd.Series) -> pd.Series:
-    prints = fp.to_numpy(np.int64)
-    return _rows(np.concatenate([left_keys(prints), right_keys(prints)], axis=1))
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one group ``c``."""
+    keys = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(keys, "key", "left_semi")
 
 
-# -- links within three bits: every one -----------------------------------------------------------
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with ``c``, the group of their ``node``, which is its own where ``groups`` has none."""
+    return rows.drop("c").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
 
-def close_links(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """Pairs ``a < b`` of distinct fingerprints ``fp`` that differ in at most ``radius`` (up to 3) bits; all of them.
+def close_groups(prints: DataFrame, radius: int = 3, long: bool | None = None) -> DataFrame:
+    """``node, component`` of the distinct fingerprints ``fp`` that others reach in steps of at most ``radius`` (up to 3) bits.
 
-    With three differing bits over three segments, two segments differ in at most one bit each. One side of the
-    join spreads the first segment of a pair, the other side the second: about 16 keys each.
+    No link between groups is left out. In each bucket the least row is tried against all others first, so a dense
+    ball of fingerprints costs its rows, not their pairs; of what is then still in different groups all pairs of a
+    bucket are tried. The least rows come from an aggregate, which combines a bucket of any size where it lies.
     """
     if not 0 <= radius <= 3:
         raise ValueError("the keys tolerate at most three differing bits")
-    left = prints.select(F.col("fp").alias("a"), F.explode(left_keys_udf("fp")).alias("key"))
-    right = prints.select(F.col("fp").alias("b"), F.explode(right_keys_udf("fp")).alias("key"))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    return pairs.select("a", "b").distinct()
+    long = prints.count() > LONG_KEYS_FROM if long is None else long
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+    rows = prints.select(F.col("fp").alias("node"), F.explode(keys_udf(long)("fp")).alias("key"))
+    lead = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("m")).where("m > 1").select("key", "lead")
+    rows = materialise(rows.join(lead, "key"), "buckets")
+    links = materialise(rows.where((F.col("node") != F.col("lead")) & near("node", "lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "led")
+    rows = materialise(_several(_grouped(rows.select("node", "key"), components(links))), "several")
+    a, b = (rows.select("key", F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    rest = a.join(b, (a["key"] == b["key"]) & (a["a"] < b["b"]) & (F.col("ca") != F.col("cb")) & near("a", "b")).select("a", "b").distinct()
+    return components(links.union(rest))
 
 
 def fingerprint_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 3) -> DataFrame:
@@ -137,7 +157,7 @@ def fingerprint_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id"
     known = df.select(F.col(f"`{doc_id}`").alias("doc_id"), fingerprint_udf(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("fp"))
     known = materialise(known, "prints")
     prints = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(close_links(prints.select("fp"), radius)).withColumnRenamed("node", "fp")
+    found = close_groups(prints.select("fp"), radius).withColumnRenamed("node", "fp")
     placed = prints.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
     named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return known.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -255,6 +275,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int,
     """Those of the distinct pairs ``a, b`` of nodes whose sets have the similarity."""
     # most pairs are far from alike, which their sketches show without the sets
     pairs = materialise(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     sought = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sketches = nodes.select("node", "sketch").join(_small(sought), "node")
     seen = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb")), "b")
@@ -275,24 +297,13 @@ def near_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     Each row of a bucket of a Golay key is tried against the bucket's least row: as many pairs as rows, never all
     pairs of a bucket. The least rows are found by an aggregate, so a bucket of any size is combined where it lies.
     """
-    rows = nodes.select("fp", "node", F.explode(all_keys_udf("fp")).alias("key")).withColumn("key", F.col("key").cast("int"))
+    rows = nodes.select("fp", "node", F.explode(keys_udf(nodes.count() > LONG_KEYS_FROM)("fp")).alias("key"))
     lead = rows.groupBy("key").agg(F.min(F.struct("fp", "node")).alias("lead"), F.count("*").alias("m")).where("m > 1")
     found = rows.join(lead.select("key", F.col("lead.fp").alias("other"), F.col("lead.node").alias("a")), "key")
     found = found.where((F.col("a") != F.col("node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= REACH))
     return verified(found.select("a", F.col("node").alias("b")).distinct(), nodes, texts, shingle, similarity)
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one group ``c``."""
-    keys = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return rows.join(keys, "key", "left_semi")
-
-
-def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """``rows`` with ``c``, the group of their ``node``, which is its own where ``groups`` has none."""
-    return rows.drop("c").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-
-
 def _can_reach(a: dict, b: dict, similarity: float):
     """Whether a bucket's element may be the first that two sets of that similarity share: enough must follow in both."""
     after = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
