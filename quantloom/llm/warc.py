@@ -11,14 +11,15 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import filesystem, new_path, small_batches
+from .common import as_name, filesystem, materialise, new_path, small_batches
 
 #: Fixed values of the format: magic numbers of the dictionary's skippable frame and of Zstandard frames.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -35,13 +36,16 @@ def base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
+NO_PAGE = "<urn:no-page>"
+
+
 def record_name(page_id) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+    return NO_PAGE if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
 
 
-def page_of(name: str):
-    inner = name.removeprefix("<urn:page:").removesuffix(">")
-    return None if inner == "none" else int(inner)
+def page_of(name: str) -> str | None:
+    """The page id that a record's name holds, as string; none if it names no page."""
+    return None if name == NO_PAGE else unquote(name.removeprefix("<urn:page:").removesuffix(">"))
 
 
 # -- writing --------------------------------------------------------------------------------------
@@ -119,7 +123,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 if writer is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.zst", 0, 0
                     writer = ArchiveWriter(fs.open_output_stream(f"{root}/{name}"))
-                writer.add(record(None if pd.isna(page_id) else int(page_id), url, payload, None if pd.isna(other) else int(other)))
+                writer.add(record(page_id, url, payload, other))
                 n, size = n + 1, size + len(payload)
                 if size >= ARCHIVE_BYTES:
                     writer.close()
@@ -129,7 +133,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             writer.close()
             yield pd.DataFrame({"path": [f"{folder}/{name}"], "records": [n]})
 
-    wide = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), "payload", F.col("refers_to").cast("string").alias("refers_to"))
+    wide = pages.select(as_name(pages, "page_id").alias("page_id"), F.col("url").cast("string").alias("url"), "payload", as_name(pages, "refers_to").alias("refers_to"))
     return wide.mapInPandas(run, "path string, records bigint")
 
 
@@ -224,10 +228,10 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-FIELDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
+FIELDS = "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary"
 
 
-def read_archives(archives: DataFrame, payloads: bool = True, parts: int | None = None) -> DataFrame:
+def read_archives(archives: DataFrame, payloads: bool = True, parts: int | None = None, id_type: T.DataType | str = "string") -> DataFrame:
     """A row per record of the archives in ``path``; null payload for revisits, or everywhere without ``payloads``.
 
     A task reads an archive as a stream and holds one record at a time. A broken archive is an error.
@@ -246,26 +250,38 @@ def read_archives(archives: DataFrame, payloads: bool = True, parts: int | None
                         rows.append(row)
                         size += len(row["payload"] or b"") + 200
                         if size > READ_BYTES:
-                            yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield pd.DataFrame(rows, columns=columns)
                             rows, size = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield pd.DataFrame(rows, columns=columns)
 
     paths = archives.select("path")
-    return (paths.repartition(parts) if parts else paths).mapInPandas(run, FIELDS)
+    out = (paths.repartition(parts) if parts else paths).mapInPandas(run, FIELDS)
+    return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 # -- pages to archives and back -------------------------------------------------------------------
 
 
+#: Pages that refer to another up to which their table is broadcast; more are joined by a shuffle.
+BROADCAST_REVISITS = 200_000
+
+
 def with_references(pages: DataFrame, payload: Column) -> DataFrame:
-    """``page_id, url, payload, refers_to``: the largest page id of an equal payload, null for that page itself."""
-    base = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.cast("binary").alias("payload"))
-    base = base.withColumn("sha", F.sha1("payload"))
-    # only payloads found twice or more have anything to refer to
-    last = base.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last")
-    joined = base.join(last, "sha", "left")
-    return joined.select("page_id", "url", "payload", F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    """``page_id, url, payload, refers_to``: the largest page id of an equal payload, null for that page itself.
+
+    Who refers to whom is found on ids and digests alone. The payloads stay where they are read, unless so many
+    pages are copies that the table of references has to be joined by a shuffle.
+    """
+    base = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), payload.cast("binary").alias("payload"))
+    light = materialise(base.select("page_id", F.sha1("payload").alias("sha")), "digests")
+    # only payloads found twice or more have anything to refer to; copies are counted where they lie
+    last = light.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 AND last IS NOT NULL").select("sha", "last")
+    revisits = light.join(last, "sha").where(~F.col("page_id").eqNullSafe(F.col("last"))).select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.col("last").alias("refers_to"))
+    revisits = materialise(revisits.distinct(), "revisits")
+    if revisits.count() <= BROADCAST_REVISITS:
+        revisits = F.broadcast(revisits)
+    return base.join(revisits, base["page_id"].eqNullSafe(revisits["_id"]) & (F.sha1("payload") == revisits["_sha"]), "left").select("page_id", "url", "payload", "refers_to")
 
 
 def archive_pages(pages: DataFrame, payloads: bool = False) -> DataFrame:
@@ -273,7 +289,8 @@ def archive_pages(pages: DataFrame, payloads: bool = False) -> DataFrame:
 
     Of rows with equal payloads that with the largest ``page_id`` is the response and the others revisit it; rows
     that tie on it are responses all. Null ids are less than any other, and a group of null ids alone is made of
-    responses; null urls are written as ``about:blank``. An empty table gives an empty result.
+    responses; ids are of any ordered type that its string form casts back to; null urls are written as
+    ``about:blank``. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
@@ -282,4 +299,4 @@ def archive_pages(pages: DataFrame, payloads: bool = False) -> DataFrame:
     manifest = new_path(spark, "archives")
     written.write.parquet(manifest)
     archives = spark.read.schema("path string, records bigint").parquet(manifest)
-    return read_archives(archives, payloads, parts=max(1, min(archives.count(), 4 * spark.sparkContext.defaultParallelism)))
+    return read_archives(archives, payloads, max(1, archives.count()), pages.schema["page_id"].dataType)
