@@ -20,11 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_path, small_batches
+from .common import as_name, filesystem, new_path, small_batches
 from .encoding import encoder
 
 SEQUENCE, BATCH = 2048, 128
-DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+#: Tokens, and documents, after which a file is closed and the next one begun.
+FILE_TOKENS, FILE_DOCUMENTS = 64 << 20, 1 << 20
+#: Ids stand as strings, in which numbers of any size and names are whole.
+DOCUMENTS = pa.schema([("doc_id", pa.string()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class SequenceWriter:
@@ -39,10 +42,11 @@ class SequenceWriter:
         )
         self.sink, self.index = fs.open_output_stream(path), fs.open_output_stream(f"{path}.docs")
         self.file, self.listing = pa.ipc.new_file(self.sink, self.schema), pa.ipc.new_file(self.index, DOCUMENTS)
-        self.held, self.size, self.tokens, self.docs = [], 0, 0, []
+        self.held, self.size, self.tokens, self.docs, self.n_docs = [], 0, 0, [], 0
 
-    def add(self, doc_id, ids: np.ndarray) -> None:
+    def add(self, doc_id: str | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id, self.tokens, len(ids)))
+        self.n_docs += 1
         self.tokens += len(ids)
         self.held.append(ids.astype(self.width))
         self.size += len(ids)
@@ -62,7 +66,7 @@ class SequenceWriter:
 
     def _list(self) -> None:
         columns = list(zip(*self.docs)) or [(), (), ()]
-        self.listing.write_batch(pa.record_batch([pa.array(c, pa.int64()) for c in columns], schema=DOCUMENTS))
+        self.listing.write_batch(pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, DOCUMENTS)], schema=DOCUMENTS))
         self.docs = []
 
     def close(self) -> None:
@@ -81,8 +85,7 @@ class SequenceFile:
         self.reader = pa.ipc.open_file(self.source)
         meta = self.reader.schema.metadata
         self.sequence, self.batch = int(meta[b"sequence"]), int(meta[b"batch"])
-        with fs.open_input_file(f"{path}.docs") as f:
-            self.docs = pa.ipc.open_file(f).read_all()
+        self.fs, self.path = fs, path
         self._last = (-1, None)
 
     def _batch(self, number: int) -> pa.RecordBatch:
@@ -90,6 +93,13 @@ class SequenceFile:
             self._last = (number, self.reader.get_batch(number))
         return self._last[1]
 
+    def documents(self) -> Iterator[pa.RecordBatch]:
+        """The list of the documents, a batch at a time."""
+        with self.fs.open_input_file(f"{self.path}.docs") as f:
+            listing = pa.ipc.open_file(f)
+            for i in range(listing.num_record_batches):
+                yield listing.get_batch(i)
+
     def __len__(self) -> int:
         n = self.reader.num_record_batches
         return (n - 1) * self.batch + self._batch(n - 1).num_rows if n else 0
@@ -119,44 +129,55 @@ class SequenceFile:
         self.source.close()
 
 
+MANIFEST = "part int, file int, path string, docs bigint, tokens bigint"
+
+
 def write_sequences(df: DataFrame, vocabulary: str, folder: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 2, sequence: int = SEQUENCE) -> DataFrame:
-    """``part, path, docs, tokens`` of the files written; by ``part``, they hold the rows in ascending ``doc_id`` order."""
+    """``part, file, path, docs, tokens`` of the files written; by ``part`` and ``file``, they hold the rows in ascending ``doc_id`` order.
+
+    A task closes a file at ``FILE_TOKENS`` tokens or ``FILE_DOCUMENTS`` documents and begins the next one.
+    """
     small_batches(df.sparkSession)
     with open(vocabulary) as f:
         largest = max(end_id, *json.load(f)["model"]["vocab"].values())
     width = np.uint16 if largest < 1 << 15 or largest < (1 << 16) - 256 else np.uint32
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("th"))
+    rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("th"))
     rows = rows.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
 
     def run(batches):
-        encode, writer = encoder(vocabulary).encode, None
+        encode, writer, number, name = encoder(vocabulary).encode, None, 0, ""
         fs, root = filesystem(folder)
+
+        def closed():
+            writer.close()
+            return pd.DataFrame({"part": [TaskContext.get().partitionId()], "file": [number], "path": [f"{folder}/{name}"], "docs": [writer.n_docs], "tokens": [writer.tokens]})
+
         for batch in batches:
-            if writer is None:
-                fs.create_dir(root, recursive=True)
-                name, docs = f"{uuid.uuid4().hex}.arrow", 0
-                writer = SequenceWriter(fs, f"{root}/{name}", width, sequence)
             for d, t in zip(batch["doc_id"], batch["text"]):
-                ids = np.append(np.frombuffer(encode(t), "<u4"), np.uint32(end_id))
-                writer.add(None if pd.isna(d) else int(d), ids)
-                docs += 1
+                if writer is None:
+                    fs.create_dir(root, recursive=True)
+                    name = f"{uuid.uuid4().hex}.arrow"
+                    writer = SequenceWriter(fs, f"{root}/{name}", width, sequence)
+                writer.add(d, np.append(np.frombuffer(encode(t), "<u4"), np.uint32(end_id)))
+                if writer.tokens >= FILE_TOKENS or writer.n_docs >= FILE_DOCUMENTS:
+                    yield closed()
+                    writer, number = None, number + 1
         if writer:
-            writer.close()
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "path": [f"{folder}/{name}"], "docs": [docs], "tokens": [writer.tokens]})
+            yield closed()
 
-    return rows.select("doc_id", "text").mapInPandas(run, "part int, path string, docs bigint, tokens bigint")
+    return rows.select(as_name(rows, "doc_id").alias("doc_id"), "text").mapInPandas(run, MANIFEST)
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of each document in the files ``path``, whose tokens begin at ``base``."""
+    """``doc_id`` (string), ``start, n_tokens, ids_crc32`` of each document in the files ``path``, whose tokens begin at ``base``."""
 
     def run(batches):
         for batch in batches:
             for path, base in zip(batch["path"], batch["base"]):
                 fs, name = filesystem(path)
                 file = SequenceFile(fs, name)
-                for docs in file.docs.to_batches(max_chunksize=5000):
+                for docs in file.documents():
                     starts, counts = docs.column(1).to_numpy(), docs.column(2).to_numpy()
                     sums = []
                     for s, n in zip(starts.tolist(), counts.tolist()):
@@ -164,23 +185,23 @@ def read_documents(files: DataFrame) -> DataFrame:
                         for ids in file.tokens(s, n):
                             crc = zlib.crc32(ids.astype("<u4"), crc)
                         sums.append(crc)
-                    yield pd.DataFrame({"doc_id": docs.column(0).to_pandas().astype("Int64"), "start": starts + base, "n_tokens": counts, "ids_crc32": np.array(sums, dtype=np.int64)})
+                    yield pd.DataFrame({"doc_id": docs.column(0).to_pandas(), "start": starts + base, "n_tokens": counts, "ids_crc32": np.array(sums, dtype=np.int64)})
                 file.close()
 
-    return files.mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.mapInPandas(run, "doc_id string, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def tokenise(df: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 2, sequence: int = SEQUENCE) -> DataFrame:
     """Writes the ids of every row of ``df`` (null text: empty, each row closed by ``end_id``) and reads them back.
 
     Rows with a null id come first; rows with equal ids are in the order of a hash of their texts, and each keeps its
-    own entry. ``start`` counts the ids of all rows before. An empty table gives an empty result.
+    own entry. Ids may be of any ordered type that its string form casts back to. ``start`` counts the ids of all rows before. An empty table gives an empty result.
     """
     spark = df.sparkSession
     manifest = new_path(spark, "sequences")
     write_sequences(df, vocabulary, new_path(spark, "arrow"), text, doc_id, end_id, sequence).write.parquet(manifest)
-    files = spark.read.schema("part int, path string, docs bigint, tokens bigint").parquet(manifest)
+    files = spark.read.schema(MANIFEST).parquet(manifest)
     # a row per file
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    return read_documents(placed.repartition(max(1, files.count())))
+    return read_documents(placed.repartition(max(1, files.count()))).withColumn("doc_id", F.col("doc_id").cast(df.schema[doc_id].dataType))
