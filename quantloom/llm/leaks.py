@@ -17,12 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import as_name, small_batches
 
 #: Word edits per word of an item.
 BUDGET = 0.2
-#: Items with fewer words match only as a document's whole text.
-MIN_WORDS = 5
 #: Bytes of item text that one automaton holds; more items go in further blocks, each against all documents.
 BLOCK_BYTES = 4 << 20
 
@@ -68,17 +66,14 @@ def best_match(masks: dict[str, int], m: int, window: list[str]) -> tuple[int, i
 class Matcher:
     """Items of one block. ``items``: pairs of id and text; null or wordless texts never match."""
 
-    def __init__(self, items: list[tuple[int, str | None]], budget: float = BUDGET):
-        self.items, self.whole = [], {}
+    def __init__(self, items: list[tuple[object, str | None]], budget: float = BUDGET):
+        self.items = []
         automaton, pieces = ahocorasick.Automaton(), {}
         for item_id, text in items:
             words = words_of(text or "")
             m = len(words)
             if not m:
                 continue
-            if m < MIN_WORDS:
-                self.whole.setdefault(tuple(words), []).append((item_id, m))
-                continue
             k, masks = int(budget * m), {}
             for i, w in enumerate(words):
                 masks[w] = masks.get(w, 0) | 1 << i
@@ -91,11 +86,9 @@ class Matcher:
         if pieces:
             automaton.make_automaton()
 
-    def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+    def find(self, text: str) -> Iterator[tuple[object, int, int, int]]:
         """``item_id, distance, budget, end_word`` for each item within its budget; the best place of each."""
         words = words_of(text)
-        for item_id, m in self.whole.get(tuple(words), ()) if len(words) < MIN_WORDS else ():
-            yield item_id, 0, 0, m
         if self.automaton is None or not words:
             return
         line = f" {' '.join(words)} "
@@ -127,14 +120,14 @@ class Matcher:
                 yield item_id, distance, k, end
 
 
-def blocks_of(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str | None]]]:
+def blocks_of(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str | None, str]]]:
     """The items in blocks of about ``BLOCK_BYTES`` at most, one block on the driver at a time."""
-    texts = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    texts = items.select(as_name(items, item_id).alias("item_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     for block in range(n):
         rows = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)
-        yield sorted(((r["item_id"], r["text"]) for r in rows.collect()), key=lambda r: (r[0] is None, r))
+        yield sorted(((r["item_id"], r["text"]) for r in rows.collect()), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", budget: float = BUDGET) -> DataFrame:
@@ -142,15 +135,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
 
     An item leaks if some part of the document is within ``budget`` word edits per word of it, words being runs of
     letters and digits in lower case. ``end_word`` is the number of words up to the end of the best place (the
-    first of the least distance). Items of fewer than five words match only a whole text. Null and wordless texts
-    match nothing; rows and items repeated in full count as rows of ``docs`` and as one item; null ids are carried.
-    Whole texts are searched; either table empty gives an empty result.
+    first of the least distance). Items of one word to any number are looked for alike; those too short for an edit
+    leak where their words stand in a row. Null and wordless texts match nothing; rows and items repeated in full
+    count as rows of ``docs`` and as one item; null ids are carried, and ids are of any type that its string form
+    casts back to. Whole texts are searched; either table empty gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kind = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, t) for n, t in (("item_id", T.LongType()), ("distance", T.IntegerType()), ("budget", T.IntegerType()), ("end_word", T.LongType())))])
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
+    kinds = {"doc_id": docs.schema[doc_id].dataType, "item_id": items.schema[item_id].dataType}
+    base = docs.select(as_name(docs, doc_id).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
 
     def search(block):
         held = spark.sparkContext.broadcast(block)
@@ -159,11 +152,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
             matcher = Matcher(held.value, budget)
             for batch in batches:
                 found = [(d, *hit) for d, t in zip(batch["doc_id"], batch["text"]) for hit in matcher.find(t)]
-                yield pd.DataFrame(found, columns=schema.names).astype({"item_id": "Int64", "distance": "int32", "budget": "int32", "end_word": "int64"})
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "budget", "end_word"]).astype({"doc_id": object, "item_id": object, "distance": "int32", "budget": "int32", "end_word": "int64"})
 
-        return base.mapInPandas(run, schema)
+        return base.mapInPandas(run, "doc_id string, item_id string, distance int, budget int, end_word bigint")
 
-    return reduce(DataFrame.union, (search(b) for b in blocks_of(items, item_id, item_text)))
+    return reduce(DataFrame.union, (search(b) for b in blocks_of(items, item_id, item_text))).withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", budget: float = BUDGET) -> DataFrame:
