@@ -67,10 +67,10 @@ def base_failed() -> Column:
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the measures and ``base_failed``; null text has no words. Columns of these names are replaced."""
     small_batches(df.sparkSession)
-    made = {*MEASURES, "base_failed"}
-    kept = [c for c in df.columns if c.lower() not in made]
-    out = df.select(*(F.col(f"`{c}`") for c in kept), measure_udf(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("measures"))
-    return out.select(*(F.col(f"`{c}`") for c in kept), "measures.*").withColumn("base_failed", base_failed())
+    kept = [c for c in df.columns if c.lower() not in {*MEASURES, "base_failed"}]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(None)
+    out = df.select(row.alias("row"), measure_udf(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("measures"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), "measures.*").withColumn("base_failed", base_failed())
 
 
 def host_rates(docs: DataFrame, host: str = "source") -> DataFrame:

@@ -14,6 +14,10 @@ SHORT = 8
 BROADCAST_RULES = 20_000
 
 
+def lowered(host: Column) -> Column:
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased. Path: then up to ``? #`` or the end.
 
@@ -23,13 +27,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(F.substr(rest, F.length(host) + 1), r"^[^?#]*", 0)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return lowered(host), path
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (null where none fits) and ``verdict`` (``allow`` or ``block``).
 
-    ``rules``: ``action, host, path``. A rule fits its host and all subdomains where the url's path starts with the
+    ``rules``: ``action, host, path``, hosts in any case. A rule fits its host and all subdomains where the url's path starts with the
     rule's. The longest rule (host and path together) wins; of equal length, the one with the longer host; of the
     same rule with both actions, ``block``. Where no rule fits the verdict is ``default``.
 
@@ -38,7 +42,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     columns of ``pages`` named like a result are replaced; empty tables give empty results.
     """
     known = rules.select(
-        F.lower("action").alias("action"), F.coalesce("host", F.lit("")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path")
+        F.lower("action").alias("action"), lowered(F.coalesce("host", F.lit(""))).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path")
     ).where(F.col("rule_host") != "").withColumn("rule", F.concat("rule_host", "rule_path"))
     shape = known.agg(
         F.count("*").alias("n"), F.max(F.size(F.split("rule_host", r"\."))).alias("labels"), F.collect_set(F.length("rule_path")).alias("lengths")
