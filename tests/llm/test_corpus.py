@@ -78,6 +78,9 @@ def test_packing_is_a_partition_of_all_ids(spark, docs):
         assert at <= 2048
     volume = -(-sum(r["length"] for r in out) // 2048)
     assert len(bins) <= volume + 1
+    lengths = np.array([r["length"] for r in out])
+    plain = packing.founders(lengths, 2048, 1, np.random.default_rng(0))[0]
+    assert len(bins) <= plain.max() + 1
     assert packing.pack_documents(empty(spark), BPE).count() == 0
 
 
@@ -93,6 +96,34 @@ def test_genetic_operators_keep_packings_whole():
     assert packing.fitness(best[0], lengths, 2048) >= packing.fitness(packing.founders(lengths, 2048, 1, rng)[0], lengths, 2048)
 
 
+def test_bulk_best_fit_equals_item_by_item():
+    rng = np.random.default_rng(4)
+    for high, n in ((30, 400), (2048, 900), (5, 300), (700, 3000)):
+        lengths = rng.integers(1, high, n)
+        table = sorted(packing.bulk_best_fit(dict(Counter(lengths.tolist())), 2048))
+        bins = defaultdict(int)
+        for k, (length, rank, each, first) in enumerate(table):
+            end = table[k + 1][1] if k + 1 < len(table) and table[k + 1][0] == length else int((lengths == length).sum())
+            for r in range(rank, end):
+                bins[first + (r - rank) // each] += length
+        plain = packing.founders(lengths, 2048, 1, rng)[0]
+        assert sorted(bins.values()) == sorted(np.bincount(plain, weights=lengths).astype(int).tolist())
+
+
+def test_packing_is_as_tight_as_plain_best_fit(spark):
+    """Several blocks and rounds, with lengths that fill bins and with some that don't."""
+    rng = np.random.default_rng(9)
+    for lengths in (rng.integers(1, 900, 9000), np.concatenate([rng.integers(680, 1400, 9000), rng.integers(1, 60, 3000)])):
+        df = spark.createDataFrame([(int(i), int(n), "x") for i, n in enumerate(lengths)], "id int, length bigint, uid string")
+        out = rows_of(packing.pack(df))
+        bins = defaultdict(int)
+        for r in out:
+            bins[r["sequence_id"]] += r["length"]
+        plain = packing.founders(lengths, 2048, 1, rng)[0]
+        assert max(bins.values()) <= 2048 and len(out) == len(lengths) and {r["uid"] for r in out} == {"x"}
+        assert len(bins) <= plain.max() + 1
+
+
 # -- fingerprints -----------------------------------------------------------------------------------
 
 
@@ -150,16 +181,24 @@ def test_fingerprint_groups_against_brute_force(spark, docs):
     assert simhash.fingerprint_groups(empty(spark)).count() == 0
 
 
-def test_close_links_lose_none(spark):
+@pytest.mark.parametrize("long", [False, True])
+def test_close_groups_lose_no_link(spark, long):
     rng = random.Random(8)
     prints = [rng.getrandbits(64) for _ in range(150)]
     for p in prints[:100]:
         for n in (1, 2, 3, 3, 3, 4):
             prints.append(p ^ sum(1 << b for b in rng.sample(range(64), n)))
+    ball = rng.getrandbits(64)
+    prints += [ball ^ sum(1 << b for b in rng.sample(range(10), rng.randint(0, 5))) for _ in range(300)]
     signed = sorted({int(np.array([p], dtype=np.uint64).view(np.int64)[0]) for p in prints})
-    got = {(r.a, r.b) for r in simhash.close_links(spark.createDataFrame([(p,) for p in signed], "fp bigint")).collect()}
     u = lambda x: x & (2**64 - 1)
-    assert got == {(a, b) for a in signed for b in signed if a < b and (u(a) ^ u(b)).bit_count() <= 3}
+    links = [(a, b) for a in signed for b in signed if a < b and (u(a) ^ u(b)).bit_count() <= 3]
+    got = {r.node: r.component for r in simhash.close_groups(spark.createDataFrame([(p,) for p in signed], "fp bigint"), long=long).collect()}
+    want = brute_components(signed, links)
+    assert got == {x: want[x] for link in links for x in link}
+    keys = simhash.keys_of(np.array(signed), long)
+    at = {p: set(keys[i].tolist()) for i, p in enumerate(signed)}
+    assert all(at[a] & at[b] for a, b in links)
 
 
 def test_components_of_chains_and_stars(spark):
@@ -194,6 +233,21 @@ def test_near_copies(spark, docs):
     assert simhash.drop_near_copies(empty(spark)).count() == 0
 
 
+def test_near_copies_of_the_small_table(spark):
+    """Whole table, against counting what every two sets share."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    want = {rows[i][0] for i in brute_kept([t for _, t in rows])}
+    assert {r["doc_id"] for r in rows_of(simhash.drop_near_copies(docs))} == want
+
+
+def test_text_that_goes_on_is_no_copy(spark):
+    rng = random.Random(13)
+    start = "alpha beta gamma " * 300
+    rows = [(1, start, "en", "s", 0), (2, start + text(rng, 120, 10**6), "en", "s", 0)]
+    assert {r["doc_id"] for r in rows_of(simhash.drop_near_copies(spark.createDataFrame(rows, DOCS)))} == {1, 2}
+
+
 def test_equal_fingerprints_are_no_copies(spark):
     rng = random.Random(12)
     line, rows = "this line comes again here".split(), []
@@ -395,6 +449,31 @@ def test_exact_shards(spark, docs, per_task):
     assert shuffle.shuffle_shards(empty(spark), 6).count() == 0
 
 
+def test_many_partitions_keep_the_matrix_small(spark):
+    sizes = [3] * 5000 + [40_000] + [0] * 10
+    limit = shuffle.rows_in_a_part(sum(sizes), 24, 1000)
+    pieces = [x for n in sizes for x in [limit] * (n // limit) + [n % limit] if x]
+    parts = shuffle.parts_of(pieces, limit)
+    blocks = -(-sum(sizes) // (24 * limit))
+    assert (parts[-1] + 1) * 24 * blocks <= shuffle.MATRIX_CELLS and parts[-1] < 60
+    held = Counter()
+    for p, n in zip(parts, pieces):
+        held[p] += n
+    assert max(held.values()) <= limit and parts == sorted(parts)
+    for total in (10**6, 10**9, 10**12):
+        limit = shuffle.rows_in_a_part(total, 24, 250_000)
+        assert (2 * total // limit + 1) * 24 * -(-total // (24 * limit)) <= shuffle.MATRIX_CELLS
+    many = spark.range(0, 3000, numPartitions=300)
+    out = rows_of(shuffle.shuffle_shards(many, 24, rows_per_task=100))
+    assert sorted(r["id"] for r in out) == list(range(3000)) and set(Counter(r["shard"] for r in out).values()) == {125}
+
+
+def test_shards_take_evenly_from_every_part(spark):
+    out = rows_of(shuffle.shuffle_shards(spark.range(0, 12_000, numPartitions=4), 6, rows_per_task=700))
+    met = Counter((r["id"] // 3000, r["shard"], r["slot"] // 1000) for r in out)
+    assert len(met) == 48 and all(abs(n - 250) < 5 * 250**0.5 for n in met.values())
+
+
 def test_matrix_is_exact_and_even():
     parts, cells = [50, 0, 30, 20], [25, 25, 25, 25]
     total = np.zeros((4, 4))
@@ -436,14 +515,12 @@ def test_leaks_against_brute_force(spark):
         words = leaks.words_of(t or "")
         for i, item in items:
             p = leaks.words_of(item or "")
-            if len(p) >= 5:
+            if p:
                 best, end = brute_distance(p, words) if len(words) < 5000 else (0 if " ".join(p) in " ".join(words) else 99, " ".join(words).find(" ".join(p)))
                 if len(words) >= 5000 and best == 0:
                     end = len(" ".join(words)[: end + len(" ".join(p))].split())
                 if best <= int(0.2 * len(p)):
                     want[(d, i, best, end)] += 1
-            elif p and p == words:
-                want[(d, i, 0, len(p))] += 1
     got = rows_of(leaks.find_leaks(docs, bench))
     assert Counter((r["doc_id"], r["item_id"], r["distance"], r["end_word"]) for r in got) == want
     clean = leaks.drop_leaks(docs, bench).collect()
@@ -452,6 +529,35 @@ def test_leaks_against_brute_force(spark):
     assert leaks.find_leaks(docs, empty(spark, "item_id bigint, text string")).count() == 0
 
 
+# -- ids --------------------------------------------------------------------------------------------
+
+BIG = 1 << 60
+
+
+def test_large_ids_stay_whole_beside_nulls(spark):
+    ids = [BIG + 1, BIG + 3, None, -BIG - 5]
+    df = spark.createDataFrame([(d, f"some words of document {i} " * 5) for i, d in enumerate(ids)], "doc_id bigint, text string").coalesce(1)
+    assert Counter(r["doc_id"] for r in rows_of(packing.pack_documents(df, BPE))) == Counter(ids)
+    assert Counter(r["doc_id"] for r in rows_of(sequences.tokenise(df, WORDS))) == Counter(ids)
+    items = spark.createDataFrame([(BIG + 7, "of document 1 some words of"), (None, "words of document 3 some")], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in rows_of(leaks.find_leaks(df, items))}
+    assert (BIG + 3, BIG + 7) in found and (-BIG - 5, None) in found and {d for d, _ in found} == set(ids)
+    pages = spark.createDataFrame([(d, "http://a", "same") for d in ids] + [(BIG + 9, "u", "other")], PAGES).coalesce(1)
+    out = {r["page_id"]: r["refers_to"] for r in rows_of(warc.archive_pages(pages))}
+    assert out == {BIG + 1: BIG + 3, BIG + 3: None, None: BIG + 3, -BIG - 5: BIG + 3, BIG + 9: None}
+
+
+def test_ids_may_be_names(spark):
+    names = ["b", "a/<x> é", "none", "", None]
+    df = spark.createDataFrame([(d, f"some words of document {i} " * 5) for i, d in enumerate(names)], "doc_id string, text string")
+    assert Counter(r["doc_id"] for r in rows_of(packing.pack_documents(df, BPE))) == Counter(names)
+    assert [r["doc_id"] for r in sorted(rows_of(sequences.tokenise(df, WORDS)), key=lambda r: r["start"])] == [None, "", "a/<x> é", "b", "none"]
+    items = spark.createDataFrame([("i", "document")], "item_id string, text string")
+    assert Counter((r["doc_id"], r["item_id"]) for r in rows_of(leaks.find_leaks(df, items))) == Counter((n, "i") for n in names)
+    out = {r["page_id"]: r["refers_to"] for r in rows_of(warc.archive_pages(spark.createDataFrame([(d, None, "same") for d in names], "page_id string, url string, html string")))}
+    assert out == {"b": "none", "a/<x> é": "none", "none": None, "": "none", None: "none"}
+
+
 # -- urls -------------------------------------------------------------------------------------------
 
 
