@@ -1,8 +1,8 @@
 """Main text of web pages: flat text blocks, judged by a decision tree.
 
 A page becomes a list of blocks. Each has its word count and link density, those of its neighbours, and where it stands
-(in the article, outside it, in a container that announces itself as boilerplate). A small classification tree, grown
-on ``labelled_blocks.csv`` when first used, says which blocks are main text.
+(in the article, outside it, in elements of boilerplate, in a container that names itself so). A small classification
+tree, grown on the labelled pages of ``labelled_blocks.csv`` when first used, says which blocks are main text.
 """
 
 from __future__ import annotations
@@ -36,17 +36,22 @@ ARTICLE = set("article main".split())
 SIBLINGS = {t: g for g in ({"li"}, {"dt", "dd"}, {"tr"}, {"td", "th"}, {"option"}) for t in g}
 HOLDERS = set("ul ol dl table tbody thead tfoot tr select menu".split())
 
-#: Words in ``class``, ``id`` and ``role`` by which a container announces boilerplate.
-HINTS = set(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar masthead header topbar footer bottombar copyright legal sidebar rail complementary contentinfo "
-    "comment comments disqus reply replies respond discussion share sharing social follow related recommended newsletter subscribe subscription signup login search searchbox form widget widgets".split()
+#: Words in ``class``, ``id`` and ``role`` by which a container names itself boilerplate: regions of a page, which may
+#: also be in the names of what wraps the article, and things that stay what they are inside an article.
+REGIONS = set("nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar masthead header topbar banner footer bottombar sidebar rail complementary contentinfo overlay widget widgets".split())
+THINGS = set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal copyright legal "
+    "comment comments disqus reply replies respond discussion share sharing social follow related recommended newsletter subscribe subscription signup login search searchbox form".split()
 )
+#: First parts of names that say what state an element is in, not what it is.
+STATES = set("has no with without is not js show hide toggle".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+|[^>]*+)>|<[!?/][^>]*+>", re.S)
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HINT_WORD = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none", re.I)
+START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?/])")
+#: Where a tag may end, or a quoted value begins.
+TAG_STEP = re.compile(r">|=\s*([\"'])")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAME_PART = re.compile(r"[a-z]+")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 
 
 @dataclass
@@ -55,29 +60,67 @@ class Block:
     words: int
     linked: int
     inside: bool
-    boilerplate: bool
+    element: bool
+    named: bool
 
 
-@dataclass
 class _Open:
-    tag: str
-    dropped: bool
-    boilerplate: bool
-    inside: bool
-    link: bool
-
-
-def _announces(attributes: str) -> bool:
-    return any(w in HINTS for found in NAMES.finditer(attributes) for w in HINT_WORD.findall((found[1] or found[2] or found[3] or "").lower()))
+    __slots__ = ("dropped", "element", "inside", "link", "region", "tag", "thing")
+
+    def __init__(self, tag: str, up: _Open | None, dropped=False, inside=False, element=False, region=False, thing=False):
+        self.tag, self.dropped, self.inside = tag, dropped or bool(up and up.dropped), inside or bool(up and up.inside)
+        self.element, self.thing = element or bool(up and up.element), thing or bool(up and up.thing)
+        # the article is not part of a region because what wraps it is named after one
+        self.region = region or bool(up and up.region and tag not in ARTICLE)
+        self.link = bool(up and up.link)
+
+
+def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
+    """The place after the ``>`` of a tag. A quote that never closes is an ordinary character, looked for once a page."""
+    while found := TAG_STEP.search(page, at):
+        at, quote = found.end(), found[1]
+        if not quote:
+            return at
+        if quote not in unclosed:
+            close = page.find(quote, at)
+            if close < 0:
+                unclosed.add(quote)
+            else:
+                at = close + 1
+    return len(page)
+
+
+def _says(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether attributes name a region, a thing, the main part, and whether they hide the element."""
+    region = thing = main = hidden = False
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), (a or b or c).lower()
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                parts = NAME_PART.findall(token)
+                if parts and parts[0] not in STATES:
+                    region |= not REGIONS.isdisjoint(parts)
+                    thing |= not THINGS.isdisjoint(parts)
+                main |= name == "role" and token == "main"
+        elif name == "hidden":
+            hidden = True
+        elif name == "style":
+            hidden |= bool(UNSEEN.search(value))
+    return region, thing, main, hidden
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order. White space inside a block is one space; empty blocks are none."""
+    """The text blocks of a page in order, in time linear in its length.
+
+    White space inside a block is one space; empty blocks are none. Inline elements matter only as links, unless they
+    name themselves; so any number of them may stay open.
+    """
     out: list[Block] = []
-    stack = [_Open("", False, False, False, False)]
+    stack = [_Open("", None)]
     counts: Counter = Counter()
     parts: list[str] = []
     linked: list[str] = []
+    unclosed: set[str] = set()
     place = stack[0]
 
     def text(run: str) -> None:
@@ -90,7 +133,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal place
         words = "".join(parts).split()
         if words:
-            out.append(Block(" ".join(words), len(words), len(" ".join(linked).split()), place.inside, place.boilerplate))
+            out.append(Block(" ".join(words), len(words), min(len(words), len(" ".join(linked).split())), place.inside, place.element, place.region or place.thing))
         parts.clear()
         linked.clear()
         place = stack[-1]
@@ -101,33 +144,42 @@ def blocks_of(page: str) -> list[Block]:
 
     at, end = 0, len(page)
     while at < end:
-        found = TAG.search(page, at)
+        found = START.search(page, at)
         if not found:
             text(page[at:])
             break
         text(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:  # comments and declarations
+        if found[3]:
+            close = page.find("-->", found.end() - 2)  # "<!-->" is a whole comment
+            at = close + 3 if close >= 0 else end
+            continue
+        at = _tag_end(page, found.end(), unclosed) if found[2] else (page.find(">", found.end()) + 1 or end)
+        if not found[2]:  # a declaration
             continue
+        tag = found[2].lower()
         if found[1]:
-            if tag not in INLINE:
-                flush()
+            if tag == "a":
+                stack[-1].link = False
             if counts[tag]:
+                flush()
                 depth = len(stack) - 1
                 while stack[depth].tag != tag:
                     depth -= 1
                 pop_to(depth)
-            if tag not in INLINE:
                 place = stack[-1]
+            elif tag not in INLINE:
+                flush()
             continue
+        attributes = page[found.end() : at - 1]
+        region, thing, main, hidden = _says(attributes) if attributes.strip("/ ") else (False, False, False, False)
+        if tag in INLINE and tag not in DROPPED and not (region or thing or hidden):
+            if tag == "a":
+                stack[-1].link = True
+            continue
+        flush()
         if tag not in INLINE:
-            flush()
-            depth = len(stack) - 1  # a block ends an open paragraph, and an item the one before it
-            while depth and stack[depth].tag in INLINE:
-                depth -= 1
-            if stack[depth].tag == "p":
-                pop_to(depth)
+            if stack[-1].tag == "p":  # a block ends an open paragraph, and an item the one before it
+                pop_to(len(stack) - 1)
             group = SIBLINGS.get(tag)
             if group and any(counts[t] for t in group):
                 depth = len(stack) - 1
@@ -136,40 +188,41 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[depth].tag in group:
                     pop_to(depth)
         if tag in VOID:
-            place = stack[-1] if tag not in INLINE else place
+            place = stack[-1]
             continue
-        up, names = stack[-1], found[3] or ""
-        inside = up.inside or tag in ARTICLE or bool(names and re.search(r"role\s*=\s*[\"']?main\b", names))
-        announced = tag in BOILERPLATE and not (tag == "header" and up.inside) or tag not in ARTICLE | {"html", "body"} and bool(names) and (_announces(names) or bool(HIDDEN.search(names)))
-        stack.append(_Open(tag, up.dropped or tag in DROPPED, up.boilerplate or announced, inside, up.link or tag == "a"))
+        up = stack[-1]
+        if tag in ("html", "body"):
+            region = thing = False
+        stack.append(_Open(tag, up, tag in DROPPED or hidden, main or tag in ARTICLE, tag in BOILERPLATE and not (tag == "header" and up.inside), region and tag not in ARTICLE, thing))
+        if tag == "a":
+            stack[-1].link = True
         counts[tag] += 1
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = close.start() if close else end
-        if tag not in INLINE or announced:
-            if tag in INLINE:
-                flush()
-            place = stack[-1]
+        place = stack[-1]
     flush()
     return out
 
 
 # -- the tree -------------------------------------------------------------------------------------
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "boilerplate")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "inside", "outside", "named")
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """A row per block. ``place``: 2 inside an article, 0 outside where the page has one, 1 where it has none."""
+    """A row per block. ``inside``: in an article or main element; ``outside``: in an element of boilerplate, or not in
+    the article of a page that has one; ``named``: in a container that names itself boilerplate.
+    """
     if not blocks:
         return np.zeros((0, len(FEATURES)))
     words = np.array([b.words for b in blocks], dtype=float)
     links = np.array([b.linked / b.words for b in blocks])
     inside = np.array([b.inside for b in blocks])
-    place = np.where(inside, 2, 0 if inside.any() else 1)
+    outside = np.array([b.element for b in blocks]) | (inside.any() & ~inside)
     before = lambda x: np.concatenate([[0.0], x[:-1]])
     after = lambda x: np.concatenate([x[1:], [0.0]])
-    return np.column_stack([words, links, before(words), before(links), after(words), after(links), place, [b.boilerplate for b in blocks]])
+    return np.column_stack([words, links, before(words), before(links), after(words), after(links), inside, outside, [b.named for b in blocks]])
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1):
@@ -203,11 +256,29 @@ def predict(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Stands in the words of blocks that are labelled main text, and for a number of words in the labelled pages.
+MARK, FILLER = "\ue000", re.compile(r"\{(\d+)\}")
+
+
+def labelled_pages() -> dict[str, str]:
+    """The labelled pages by name. In the table a row is a piece of a page, in order, with the label of its blocks; ``{n}`` are n words."""
+    pages: dict[str, str] = {}
+    with open(Path(__file__).with_name("labelled_blocks.csv"), newline="") as file:
+        for r in csv.DictReader(file):
+            word = f"{MARK}w" if r["main"] == "1" else "w"
+            pages[r["page"]] = pages.get(r["page"], "") + FILLER.sub(lambda n: " ".join([word] * int(n[1])), r["html"])  # noqa: B023
+    return pages
+
+
+def labelled(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of labelled pages."""
+    blocks = [blocks_of(p) for p in pages]
+    return np.concatenate([features(b) for b in blocks]), np.array([float(MARK in b.text) for page in blocks for b in page])
+
+
 @cache
 def trained():
-    with open(Path(__file__).with_name("labelled_blocks.csv"), newline="") as file:
-        rows = list(csv.DictReader(file))
-    return grow(np.array([[float(r[f]) for f in FEATURES] for r in rows]), np.array([float(r["main"]) for r in rows]))
+    return grow(*labelled(list(labelled_pages().values())))
 
 
 def main_text(page: str) -> str:
