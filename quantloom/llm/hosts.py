@@ -20,8 +20,9 @@ MIN_WORDS = 50
 MAX_REPEATED = 50
 #: Symbols per hundred word characters above which a document counts as a failure of its host.
 MAX_SYMBOLS = 10
-#: Shrunken failure rate above which a host, and with it each of its documents, is rejected.
-MAX_RATE = 0.8
+#: Shrunken failure rate above which a host, and with it each of its documents, is rejected: more of them fail than not,
+#: so that a verdict on the host is right for most of its documents.
+MAX_RATE = 0.5
 #: Hosts up to which the table of verdicts is broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 

@@ -712,11 +712,65 @@ def test_quotation_linking(spark):
     assert quotes.conversations(df.limit(0)).count() == 0
 
 
+def brute_replies(messages):
+    """``{turn: (reply_to, linked)}`` of one conversation, by comparing sentences as text."""
+    import re
+
+    def sentences(passage):
+        return [x for x in (re.findall(r"\w+", part.lower()) for part in re.split(r"(?<=[.!?])\s+", passage)) if x]
+
+    said = {}
+    for turn, text in messages:
+        own = "\n".join(line for line in text.split("\n") if not line.startswith(">"))
+        for paragraph in own.split("\n\n"):
+            for words in sentences(paragraph.replace("\n", " ")):
+                said.setdefault(tuple(words), turn)
+    out = {}
+    for at, (turn, text) in enumerate(messages):
+        votes = defaultdict(Counter)
+        quoted = [(len(m[1].replace(" ", "")), m[2]) for m in (re.match(r"((?:> ?)+)(.*)", line) for line in text.split("\n")) if m]
+        for level, passage in quoted:
+            for words in {tuple(w) for w in sentences(passage) if len(w) >= 3}:
+                first = said.get(words)
+                if first is not None and first < turn:
+                    votes[level][first] += 1
+        if votes:
+            best = votes[min(votes)]
+            out[turn] = (max(best, key=lambda t: (best[t], t)), True)
+        else:
+            out[turn] = (messages[at - 1][0] if at else None, False)
+    return out
+
+
+def test_quotation_linking_against_brute_force(spark):
+    rng, rows, want = random.Random(15), [], {}
+    for conv in range(12):
+        messages, own = [], []
+        for turn in range(rng.randint(1, 25)):
+            mine = [f"Word{rng.randint(0, 40)} said {text(rng, 4, 30)}." for _ in range(rng.randint(1, 4))]
+            lines, used = [], set()
+            for level in range(rng.choice([0, 0, 1, 2, 3]) if own else 0, 0, -1):
+                s = rng.choice(rng.choice(own))
+                if s not in used:
+                    lines.append(rng.choice(["> ", ">"]) * level + (s.upper() if rng.random() < 0.3 else s))
+                    used.add(s)
+            body = "\n".join([*lines, " ".join(mine)])
+            messages.append((turn * 3, body))
+            own.append(mine)
+        rows += [(conv, t, "user", b) for t, b in messages]
+        want |= {(conv, t): r for t, r in brute_replies(messages).items()}
+    got = rows_of(quotes.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)))
+    assert {(r["conv_id"], r["turn"]): (r["reply_to"], r["linked"]) for r in got} == want
+    assert sum(linked for _, linked in want.values()) > 30
+    assert all(not line.startswith(">") for r in got for line in r["body"].split("\n"))
+
+
 # -- host rules -------------------------------------------------------------------------------------
 
 
 def test_host_rules(spark, docs):
-    got = rows_of(hosts.with_verdicts(common.materialise(hosts.measured(docs), "t")))
+    got = rows_of(hosts.with_verdicts(common.materialise(hosts.measured(docs.withColumn("measures", F.lit("clash"))), "t")))
+    assert {r["measures"] for r in got} == {"clash"}
     import re
 
     def brute(t):
