@@ -113,9 +113,9 @@ def keys_udf(long: bool):
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one group ``c``."""
-    keys = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return rows.join(keys, "key", "left_semi")
+    """The rows of buckets that hold more than one group ``c``, with ``m``, the rows of their bucket."""
+    keys = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
+    return rows.drop("m").join(keys, "key")
 
 
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -172,8 +172,12 @@ BROADCAST_KEYS = 1_000_000
 #: Common shingles go last in the order of a set: those of so many documents at least of one in ``SAMPLE``, the most
 #: common ``COMMON`` of them. Any order that is the same for all sets loses no pair; this one makes buckets small.
 SAMPLE, COMMON, COMMON_IN = 16, 1 << 16, 3
-#: Bits of a sketch.
-SKETCH = 2048
+#: Rows of a bucket that all others are tried against before the pairs between groups.
+LEADS = 4
+#: Bits of a sketch, and of the folded one, in as many numbers of 64 bits, that rows of crowded buckets carry.
+SKETCH, FOLDED = 2048, 8
+#: Rows from which a bucket is crowded.
+CROWD = 32
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -223,6 +227,13 @@ def may_be_alike(x: bytes, y: bytes, similarity: float) -> bool:
     return (int.from_bytes(x[4:], "little") ^ int.from_bytes(y[4:], "little")).bit_count() <= most
 
 
+@F.pandas_udf(T.StructType([T.StructField(f"s{i}", T.LongType()) for i in range(FOLDED)]))
+def folded_udf(sketches: pd.Series) -> pd.DataFrame:
+    """The parities of coarser classes: a sketch's parts, laid over each other."""
+    bits = np.frombuffer(b"".join(k[4:] for k in sketches), "<i8").reshape(len(sketches), -1, FOLDED)
+    return pd.DataFrame(np.bitwise_xor.reduce(bits, axis=1), columns=[f"s{i}" for i in range(FOLDED)])
+
+
 def prints_udf(shingle: int, similarity: float, common):
     """Of a text's set of shingles: its number, by which texts of one set are one node, size, fingerprint, prefix, sketch."""
     kinds = {"node": T.LongType(), "n": T.IntegerType(), "fp": T.LongType(), "prefix": T.ArrayType(T.LongType()), "sketch": T.BinaryType()}
@@ -277,11 +288,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int,
     pairs = materialise(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    sought = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sought = materialise(pairs.select("a").union(pairs.select("b")).toDF("node").distinct(), "sought")
     sketches = nodes.select("node", "sketch").join(_small(sought), "node")
     seen = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb")), "b")
     pairs = materialise(seen.where(alike_udf(similarity)("ka", "kb")).select("a", "b"), "close")
-    wanted = nodes.select("node", "doc_id", "th").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    wanted = nodes.select("node", "doc_id", "th").join(pairs.select("a").union(pairs.select("b")).toDF("node").distinct(), "node")
     wanted = _small(materialise(wanted, "wanted"))
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select(wanted["node"], "text")
     sets = materialise(found.select("node", set_udf(shingle)("text").alias("s")).dropDuplicates(["node"]), "sets")
@@ -292,16 +303,20 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int,
 
 
 def near_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Verified links ``a, b`` between node numbers: all of those between sets whose fingerprints are close, as groups.
+    """Verified links ``a, b`` between node numbers, most of those between sets whose fingerprints are close.
 
-    Each row of a bucket of a Golay key is tried against the bucket's least row: as many pairs as rows, never all
-    pairs of a bucket. The least rows are found by an aggregate, so a bucket of any size is combined where it lies.
+    Each fingerprint in a bucket of a Golay key is tried against the bucket's least and greatest: as many pairs as rows,
+    never all pairs of a bucket. These two come from an aggregate, so a bucket of any size is combined where it lies.
+    Nodes of one fingerprint are tried against the least of them.
     """
-    rows = nodes.select("fp", "node", F.explode(keys_udf(nodes.count() > LONG_KEYS_FROM)("fp")).alias("key"))
-    lead = rows.groupBy("key").agg(F.min(F.struct("fp", "node")).alias("lead"), F.count("*").alias("m")).where("m > 1")
-    found = rows.join(lead.select("key", F.col("lead.fp").alias("other"), F.col("lead.node").alias("a")), "key")
-    found = found.where((F.col("a") != F.col("node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= REACH))
-    return verified(found.select("a", F.col("node").alias("b")).distinct(), nodes, texts, shingle, similarity)
+    prints = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    rows = prints.select("fp", F.explode(keys_udf(prints.count() > LONG_KEYS_FROM)("fp")).alias("key"))
+    ends = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
+    tried = rows.join(ends, "key").select("fp", F.explode(F.array("lo", "hi")).alias("other"))
+    tried = tried.where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= REACH)).distinct()
+    close = tried.join(prints.select(F.col("fp").alias("other"), F.col("node").alias("a")), "other").join(prints.select("fp", F.col("node").alias("b")), "fp").select("a", "b")
+    same = nodes.select("fp", F.col("node").alias("b")).join(prints.select("fp", F.col("node").alias("a")), "fp").where("a <> b").select("a", "b")
+    return verified(close.union(same), nodes, texts, shingle, similarity)
 
 
 def _can_reach(a: dict, b: dict, similarity: float):
@@ -314,23 +329,35 @@ def missed_links(nodes: DataFrame, texts: DataFrame, links: DataFrame, shingle:
     """Verified links ``a, b`` that join groups of ``links`` to the groups of all links. None is missed.
 
     Two sets of that similarity share an element of their prefixes. Most elements are in one prefix alone and go
-    first. Of the others, buckets of one group have nothing to add; in the rest each row is first tried against the
-    bucket's least row, which joins large groups at the cost of their rows, and then all pairs in different groups.
+    first. Of the others, buckets of one group have nothing to add; in the rest each row is first tried against a few
+    rows of the bucket, which joins large groups at the cost of their rows, and then all pairs in different groups.
     """
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     shared = rows.groupBy("key").count().where("count > 1").select("key")
     rows = materialise(rows.join(shared, "key", "left_semi"), "shared")
     rows = materialise(_several(_grouped(rows, components(links))), "several")
-    lead = rows.groupBy("key").agg(F.min(F.struct("node", "n", "pos", "c")).alias("lead"))
-    led = rows.join(lead, "key").where(_can_reach({c: F.col(f"lead.{c}") for c in ("n", "pos", "c")}, {c: F.col(c) for c in ("n", "pos", "c")}, similarity))
+    one = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), "node", "n", "pos", "c"))
+    leads = rows.groupBy("key").agg(F.array(*(one(seed) for seed in range(LEADS))).alias("leads"))
+    led = rows.join(leads, "key").select(*rows.columns, F.explode("leads").alias("lead"))
+    led = led.where(_can_reach({c: F.col(f"lead.{c}") for c in ("n", "pos", "c")}, {c: F.col(c) for c in ("n", "pos", "c")}, similarity))
     more = verified(led.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), nodes, texts, shingle, similarity)
     rows = materialise(_several(_grouped(rows, components(links.union(more)))), "several")
-    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "c"))) for x in "ab")
-    reach = _can_reach(*({c: F.col(f"{c}_{x}") for c in ("n", "pos", "c")} for x in "ab"), similarity)
-    pairs = a.join(b, (a["key"] == b["key"]) & (a["node_a"] < b["node_b"]) & reach).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    calm, crowded = rows.where(F.col("m") < CROWD), rows.where(F.col("m") >= CROWD)
+    folded = nodes.join(crowded.select("node").distinct(), "node").select("node", folded_udf("sketch").alias("s")).select("node", "s.*")
+    pairs = _pairs(calm, similarity, []).union(_pairs(crowded.join(folded, "node"), similarity, folded.columns[1:])).distinct()
     return more.union(verified(pairs, nodes, texts, shingle, similarity))
 
 
+def _pairs(rows: DataFrame, similarity: float, folded: list[str]) -> DataFrame:
+    """``a, b``: the pairs of nodes of a bucket, in different groups, that may be alike by size, place and folded sketch."""
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "c", *folded))) for x in "ab")
+    fits = _can_reach(*({c: F.col(f"{c}_{x}") for c in ("n", "pos", "c")} for x in "ab"), similarity)
+    if folded:
+        differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in folded), F.lit(0))
+        fits = fits & (differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6)
+    return a.join(b, (a["key"] == b["key"]) & (a["node_a"] < b["node_b"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def near_groups(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """``doc_id, th, node`` of each row of ``texts`` (``doc_id, th, text``), and ``node, doc_id, th, component`` of each node."""
     spark = texts.sparkSession
