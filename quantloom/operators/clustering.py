@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-SEED, RESTARTS, RIDGE = 42, 10, 1e-6
+SEED, RESTARTS, RIDGE, FLOOR = 42, 10, 1e-6, 1e-8
 
 
 # -- shared algebra -------------------------------------------------------------------------------
@@ -104,30 +104,27 @@ def regularisation(a: np.ndarray) -> float:
 
 def regularised_spectral(a: np.ndarray, k: int) -> np.ndarray:
     p, n = layers(a)
-    g, size = regularisation(p - n), len(p)
-    w, d = p - n + g / size, (p + n).sum(1) + g
-    _, v = np.linalg.eigh(normal_laplacian(w, d))
-    return kmeans(v[:, : max(1, k - 1)], k)
+    # the regulariser is split evenly over the layers, so its rank-one terms cancel and only the degrees take it
+    _, v = np.linalg.eigh(normal_laplacian(p - n, (p + n).sum(1) + regularisation(p - n)))
+    return kmeans(unit_rows(v[:, : max(1, k - 1)]), k)
 
 
 def regularised_sponge(a: np.ndarray, k: int, tau: float = 1.0) -> np.ndarray:
     p, n = layers(a)
-    size, g = len(p), regularisation(p - n)
-    p, n = p + g / size, n + g / size
-    eye = np.eye(size)
-    _, v = smallest_pencil(normal_laplacian(p, p.sum(1)) + tau * eye, normal_laplacian(n, n.sum(1)) + tau * eye, k)
+    g, eye = regularisation(p - n), np.eye(len(p))
+    _, v = smallest_pencil(normal_laplacian(p, p.sum(1) + g) + tau * eye, normal_laplacian(n, n.sum(1) + g) + (tau + RIDGE) * eye, max(1, k - 1))
     return kmeans(unit_rows(v), k)
 
 
 def power_mean_laplacian(a: np.ndarray, k: int, p: float = -10.0) -> np.ndarray:
     """Clusters by the matrix power mean of both layers' Laplacians; at zero their log-Euclidean mean."""
     pos, neg = layers(a)
-    shift = np.log10(1 + abs(p)) + RIDGE if p < 0 else RIDGE
+    shift = np.log10(1 + abs(p)) + RIDGE if p < 0 else 0.0
     parts = [normal_laplacian(pos, pos.sum(1)) + shift * np.eye(len(pos)), normal_laplacian(neg, neg.sum(1), 1.0) + shift * np.eye(len(pos))]
 
     def through(m: np.ndarray, f: Callable) -> np.ndarray:
         values, vectors = np.linalg.eigh(m)
-        return vectors * f(np.maximum(values, 1e-12)) @ vectors.T
+        return vectors * f(np.maximum(values, FLOOR)) @ vectors.T
 
     if p == 0:
         _, v = np.linalg.eigh(sum(through(x, np.log) for x in parts) / 2)
@@ -216,9 +213,9 @@ def signflip_k(a: np.ndarray, replicates: int = 50, max_k: int = 12, seed: int =
 
 
 def eigengap_k(values: np.ndarray, low: int = 2, high: int = 10) -> int:
-    gaps = np.diff(np.sort(values))
-    high = min(high, len(gaps))
-    return int(np.clip(np.argmax(gaps[low - 1 : high]) + low, low, high)) if high >= low else low
+    """The place of the largest of the first ``high`` gaps, then brought into the bounds."""
+    gaps = np.diff(np.sort(values))[:high]
+    return int(np.clip(np.argmax(gaps) + 1, low, high)) if len(gaps) else low
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
@@ -252,6 +249,17 @@ def davies_bouldin(x: np.ndarray, labels: np.ndarray) -> float:
     return float(ratio.max(1).mean())
 
 
+def scored_k(x: np.ndarray, score: Callable[[np.ndarray, np.ndarray], float] = silhouette, low: int = 2, high: int = 10) -> int:
+    """The number of k-means clusters with the best score (least for Davies-Bouldin, else most); ties to fewer clusters."""
+    sign = -1.0 if score is davies_bouldin else 1.0
+    found = {}
+    for k in range(low, min(high, len(x) - 1) + 1):
+        labels = kmeans(x, k, restarts=3)
+        if len(np.unique(labels)) > 1:
+            found[k] = sign * score(x, labels)
+    return max(found, key=lambda k: (found[k], -k)) if found else low
+
+
 def gap_k(x: np.ndarray, low: int = 2, high: int = 10, references: int = 10, seed: int = SEED) -> int:
     """The number with the largest gap between the log inertia of uniform references and that of the data."""
     rng = np.random.default_rng(seed)

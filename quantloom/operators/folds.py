@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of all spans together up to which they are broadcast.
+BROADCAST_ROWS = 500_000
 FOLD = "fold int, train_lo int, train_hi int, test_lo int, test_hi int"
 
 
@@ -22,9 +24,11 @@ def fold_rows(dense: DataFrame, table: DataFrame, context: int = 0) -> DataFrame
         return F.struct(F.lit(part).alias("part"), lo.alias("lo"), hi.alias("hi"))
 
     c = F.col
+    # the rows of the spans, at most 40 bytes each, are a few numbers of the driver's own table of folds
+    small = (table.agg(F.sum(c("train_hi") - c("train_lo") + c("test_hi") - c("test_lo") + context)).first()[0] or 0) <= BROADCAST_ROWS
     spans = F.array(span("train", c("train_lo"), c("train_hi")), span("context", c("test_lo") - context, c("test_lo")), span("test", c("test_lo"), c("test_hi")))
     pieces = table.select("fold", F.explode(spans).alias("s")).where("s.lo < s.hi").select("fold", "s.part", F.explode(F.sequence("s.lo", F.col("s.hi") - 1)).alias("date_idx"))
-    return dense.join(F.broadcast(pieces), "date_idx")
+    return dense.join(F.broadcast(pieces) if small else pieces, "date_idx")
 
 
 def eligible(rows: DataFrame, value: str = "r", share: float = 0.8) -> DataFrame:

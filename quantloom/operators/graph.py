@@ -55,12 +55,15 @@ def rank_weighted(edges: DataFrame) -> DataFrame:
     return edges.withColumn("weight", F.col("weight") * (n - rank + 1) / n)
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node, component``: least label reachable, passed on until nothing changes; labels jump to their labels' labels."""
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, component``: least label reachable, passed on until nothing changes, however long the chains are.
+
+    Labels jump to their labels' labels, so a step at least doubles the reach along most paths.
+    """
     from pyspark import StorageLevel
 
     edges, labels = cut(edges.select("src", "dst")), nodes.select("node", F.col("node").alias("component"))
-    for _ in range(rounds):
+    while True:
         heard = edges.join(labels, edges["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("m"))
         near = labels.join(heard, labels["node"] == heard["src"], "left").select("node", F.least("component", "m").alias("component"))
         root = near.select(F.col("node").alias("component"), F.col("component").alias("root"))
@@ -108,7 +111,7 @@ def cluster_quality(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumns({"satisfied": F.try_divide(F.col("pos_within") + F.col("neg_between"), total), "frustration": F.try_divide(F.col("neg_within") + F.col("pos_between"), total), "objective": F.col("neg_within") + 2 * F.col("pos_between")})
 
 
-def balancedcut(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def balanced_cut(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Per cluster: positive weight cut plus negative weight kept, over the volume of its nodes."""
     l = labels.select(F.col("node").alias("src"), F.col("label").alias("ls"))
     m = labels.select(F.col("node").alias("dst"), F.col("label").alias("ld"))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .panel import sample_kurtosis, sample_skew
+from .panel import cut, sample_kurtosis, sample_skew
 
 YEAR = 365
 NORMAL = NormalDist()
@@ -56,10 +56,11 @@ def sharpe_by_year(df: DataFrame, x: str = "net", least: int = 30) -> DataFrame:
 
 
 def best_days(df: DataFrame, x: str = "net", k: int = 10) -> DataFrame:
-    """Sharpe with and without the ``k`` best days, and their share of the total."""
-    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(x), "date")))
-    rest = F.when(F.col("rank") > k, F.col(x))
-    return ranked.agg(F.count(x).alias("n"), sharpe(F.col(x)).alias("sharpe"), sharpe(rest).alias("sharpe_ex_best"), (F.sum(F.when(F.col("rank") <= k, F.col(x))) / F.sum(x)).alias("share_of_total"))
+    """Sharpe with and without the ``k`` best days, and their share of the total. Dates are unique."""
+    top = df.where(F.col(x).isNotNull()).orderBy(F.desc(x), "date").limit(k).select("date", F.lit(True).alias("best"))
+    marked = df.join(F.broadcast(top), "date", "left")
+    rest = F.when(F.col("best").isNull(), F.col(x))
+    return marked.agg(F.count(x).alias("n"), sharpe(F.col(x)).alias("sharpe"), sharpe(rest).alias("sharpe_ex_best"), (F.sum(F.when(F.col("best"), F.col(x))) / F.sum(x)).alias("share_of_total"))
 
 
 def paired_delta(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -114,20 +115,18 @@ def romano_wolf(returns: DataFrame, reps: int = 1000, alpha: float = 0.05, seed:
     drawn = long.join(picks, "pos").groupBy("rep", "strategy").agg((F.sum(F.col("ret") * F.col("k")) / n).alias("mb"), (F.sum(F.col("ret") * F.col("ret") * F.col("k")) / n).alias("m2"))
     sd = F.sqrt(F.greatest(F.col("m2") - F.col("mb") * F.col("mb"), F.lit(0.0)) * n / (n - 1) / n)
     null = drawn.join(base, "strategy").select("rep", "strategy", ((F.col("mb") - F.col("mu")) / F.nullif(sd, F.lit(0.0))).alias("tb"))
-    # the step-down works on a strategies x replicates matrix of statistics
-    table = base.select("strategy", "t").orderBy("strategy").collect()
-    names, t = [r["strategy"] for r in table], np.array([r["t"] for r in table], float)
-    boot = np.full((reps, len(names)), np.nan)
-    place = {s: i for i, s in enumerate(names)}
-    for r in null.collect():
-        boot[r["rep"], place[r["strategy"]]] = np.nan if r["tb"] is None else r["tb"]
-    stat, boot = (np.abs(t), np.abs(boot)) if two_sided else (t, boot)
-    open_, critical = np.ones(len(t), bool), np.full(len(t), np.nan)
-    while open_.any():
-        bar = float(np.quantile(np.nanmax(boot[:, open_], axis=1), 1 - alpha))
-        hit = open_ & (stat > bar)
-        critical[open_] = bar
-        if not hit.any():
+    sized = (lambda c: F.abs(c)) if two_sided else (lambda c: F.col(c))
+    null = cut(null.select("rep", "strategy", sized("tb").alias("tb")))
+    # a step needs the maxima of the replicates over the strategies still open: one number a replicate
+    table = cut(base.select("strategy", "t", sized("t").alias("stat"), F.lit(None).cast("double").alias("critical"), F.lit(False).alias("significant")))
+    while True:
+        maxima = null.join(table.where(~F.col("significant")).select("strategy"), "strategy").groupBy("rep").agg(F.max("tb").alias("m"))
+        bar = maxima.agg(F.percentile("m", 1 - alpha)).first()[0]
+        if bar is None:
             break
-        open_ &= ~hit
-    return spark.createDataFrame([(s, float(a), float(c), bool(not o)) for s, a, c, o in zip(names, t, critical, open_)], "strategy string, t double, critical double, significant boolean")
+        hit = ~F.col("significant") & (F.coalesce(F.col("stat"), F.lit(0.0)) > bar)
+        new = table.where(hit).count()
+        table = cut(table.withColumn("critical", F.when(F.col("significant"), F.col("critical")).otherwise(F.lit(float(bar)))).withColumn("significant", F.col("significant") | hit))
+        if not new:
+            break
+    return table.select("strategy", "t", "critical", "significant")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -98,10 +98,11 @@ def sample_kurtosis(x: Column) -> Column:
 def quality_report(panel: DataFrame, value: str, key: str = "id") -> DataFrame:
     """Per id: values present, share missing, moments and extremes, most missing first."""
     x = F.col(value)
-    return panel.groupBy(key).agg(
+    out = panel.groupBy(key).agg(
         F.count(x).alias("n_obs"), (1 - F.count(x) / F.count("*")).alias("missing"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.min(x).alias("min"), F.max(x).alias("max"), sample_skew(x).alias("skew"), sample_kurtosis(x).alias("kurtosis"),
     )
+    return out.orderBy(F.desc("missing"), key)
 
 
 def wide(panel: DataFrame, value: str, ids: list, key: str = "id", date: str = "date") -> DataFrame:
@@ -109,9 +110,20 @@ def wide(panel: DataFrame, value: str, ids: list, key: str = "id", date: str = "
     return panel.where(F.col(value).isNotNull()).groupBy(date).pivot(key, sorted(ids)).agg(F.last(value, ignorenulls=True))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see; one of our own only on a single machine that has set none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", base)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared checkpoint folder."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    shared_dir(df.sparkSession)
     return df.checkpoint()

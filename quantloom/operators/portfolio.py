@@ -94,7 +94,8 @@ def vol_target(weights: DataFrame, returns: DataFrame, target: float = 0.10, win
     ``weights`` and ``returns`` carry ``date_idx``; the population deviation is annualised, the scale capped.
     """
     w = weights.select("date", F.col("date_idx").alias("now"), "id", "w").where("w <> 0")
-    past = w.join(returns.select("id", "date_idx", "r"), "id").where((F.col("date_idx") < F.col("now")) & (F.col("date_idx") >= F.col("now") - window))
+    seen = returns.select("id", "date_idx", "r").withColumn("now", F.explode(F.sequence(F.col("date_idx") + 1, F.col("date_idx") + window)))
+    past = w.join(seen, ["id", "now"])
     daily = past.groupBy("date", "date_idx").agg(F.sum(F.col("w") * F.coalesce("r", F.lit(0.0))).alias("p"))
     vol = daily.groupBy("date").agg((F.stddev_pop("p") * F.sqrt(F.lit(year))).alias("vol"))
     scale = F.when(F.col("vol") > 0, F.least(F.lit(target) / F.col("vol"), F.lit(cap))).otherwise(F.lit(1.0))

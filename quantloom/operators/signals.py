@@ -98,7 +98,8 @@ def ou_scores(dense: DataFrame, x: str = "deviation", window: int = 60, max_half
     """
     a = dense.select("id", "date", F.col("date_idx").alias("now")).where(F.col("date_idx") >= window - 1)
     b = dense.select("id", F.col("date_idx").alias("t"), F.col(x).alias("x"))
-    within = a.join(b, "id").where((F.col("t") <= F.col("now")) & (F.col("t") > F.col("now") - window))
+    # each row goes to the windows that it is in, and meets them by equality
+    within = b.withColumn("now", F.explode(F.sequence(F.col("t"), F.col("t") + window - 1))).join(a, ["id", "now"])
     over = Window.partitionBy("id", "now").orderBy("t")
     path = within.withColumn("y", F.sum(F.coalesce("x", F.lit(0.0))).over(over.rowsBetween(Window.unboundedPreceding, 0))).withColumn("y0", F.lag("y").over(over))
     fit = path.groupBy("id", "date").agg(

@@ -111,11 +111,7 @@ def _ledger_rows(spark, sf):
 
 
 def ledger_replay(spark, sf):
-    rows, out = _ledger_rows(spark, sf), None
-    for bps in (0, 25, 50):
-        part = ledger.ledger(rows.where(F.col("book") == str(bps)), cost_bps=float(bps), every=2, band=0.01)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return ledger.ledger(_ledger_rows(spark, sf).withColumn("cost_bps", F.col("book").cast("double")), every=2, band=0.01)
 
 
 def limited_weights(spark, sf):
@@ -221,9 +217,11 @@ def keep_last_dedup(spark, sf):
     return panel.dedup(e, ["date", "id"], F.desc("ts"), F.desc("event_id")).select("date", "id", "event_id", "value")
 
 
+BRANDS = [f"Brand#{a}{b}" for a in range(1, 6) for b in range(1, 6)]
+
+
 def wide_pivot(spark, sf):
-    w = data.week_panel(spark, sf).where("id IN ('Brand#11', 'Brand#12', 'Brand#13')").withColumn("volume", F.round("volume", 2))
-    return panel.wide(w, "volume", ["Brand#11", "Brand#12", "Brand#13"])
+    return panel.wide(data.week_panel(spark, sf).withColumn("volume", F.round("volume", 2)), "volume", BRANDS)
 
 
 def set_operations(spark, sf):
@@ -242,10 +240,10 @@ def _stream(spark, sf, build, mode="complete"):
     import uuid
 
     source = spark.readStream.schema(data.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"stream_{uuid.uuid4().hex[:8]}"
-    query = build(source).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    path, result = f"{panel.shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex[:8]}", build(source)
+    query = result.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/result")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(result.schema).parquet(f"{path}/result")
 
 
 def stream_daily_resample(spark, sf):
@@ -310,7 +308,7 @@ SQL = {
     "funding_daily": _RATE + " SELECT date, base, rate FROM fd",
     "funding_summary": _RATE + " SELECT base, count(*) AS days, round(avg(rate), 3) AS mean, round(avg(rate) * 365, 3) AS annual, round(stddev_samp(rate), 3) AS vol FROM fd GROUP BY 1",
     "keep_last_dedup": "SELECT date, id, event_id, value FROM (SELECT CAST(ts AS DATE) AS date, user_id AS id, event_id, round(value, 4) AS value, row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
-    "wide_pivot": f"WITH {data.WEEK} SELECT date, " + ", ".join(f"max(round(volume, 2)) FILTER (id = 'Brand#{b}') AS \"Brand#{b}\"" for b in (11, 12, 13)) + " FROM week WHERE id IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY 1",
+    "wide_pivot": f"WITH {data.WEEK} SELECT date, " + ", ".join(f"max(round(volume, 2)) FILTER (id = '{b}') AS \"{b}\"" for b in BRANDS) + " FROM week GROUP BY 1",
     "set_operations": f"WITH {data.USER}, a AS (SELECT id, date FROM usr WHERE n >= 3), b AS (SELECT id, date FROM usr WHERE value > 200) SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)",
     "stream_daily_resample": "SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n, CAST(sum(CAST(round(value, 2) AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2",
     "stream_rolling_mean": "SELECT CAST(CAST(ts AS DATE) + k AS TIMESTAMP) AS until, event_type, round(avg(value), 6) AS mean, count(*) AS n FROM events, (SELECT unnest([1, 2, 3]) AS k) GROUP BY 1, 2",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("universe", "features", "books", "graphs")
+MODULES = ("universe", "features", "books", "graphs", "studies")
 
 
 def _modules():
