@@ -79,32 +79,30 @@ def _segments(prints: np.ndarray, cuts) -> list[np.ndarray]:
     return [((x >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in cuts]
 
 
-def keys_of(prints: np.ndarray, long: bool = False) -> np.ndarray:
-    """A row of keys for each fingerprint (some twice); any two fingerprints within three bits share a key.
+def keys_of(prints: np.ndarray, long: bool = False, side: int = 0) -> np.ndarray:
+    """A row of keys for each fingerprint (some twice). Two within three bits share a key, one's of side 0, the other's of side 1.
 
     Of three differing bits over three segments, two segments have at most one each; over four, three segments have at
-    most two in all, one each. So for every choice of two segments that may differ, keys take the near indices of the
-    one and the plain index of the other, and the other way round; the third segment, if any, must be equal. The key
-    that has the plain index of the one fingerprint in the first place and of the other in the second is among both's.
+    most two in all, one each. So for every choice of two segments that may differ, keys of side 0 take the near
+    indices of the first and the plain index of the second, those of side 1 the other way round; the third segment, if
+    any, must be equal. Keys of side 0 alone meet where one of the two segments is in the same sphere.
     """
     cuts = FOUR if long else THREE
     plain, near = [golay.decode(x) for x in _segments(prints, cuts)], [golay.near_keys(x) for x in _segments(prints, cuts)]
     out = []
     for chosen in combinations(range(len(cuts)), len(cuts) - 1):
         for differ in combinations(chosen, 2):
-            same = [c for c in chosen if c not in differ]
-            for spread in differ:
-                key = np.full((len(prints), 1), len(out) // 2, dtype=np.int64)
-                for c in (*differ, *same):
-                    key = (key << 12) | (near[c] if c == spread else plain[c][:, None])
-                out.append(key)
+            key = np.full((len(prints), 1), len(out), dtype=np.int64)
+            for c in (*differ, *(c for c in chosen if c not in differ)):
+                key = (key << 12) | (near[c] if c == differ[side] else plain[c][:, None])
+            out.append(key)
     return np.concatenate(out, axis=1)
 
 
-def keys_udf(long: bool):
+def keys_udf(long: bool, side: int = 0):
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(fp: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(row) for row in keys_of(fp.to_numpy(np.int64), long)])
+        return pd.Series([np.unique(row) for row in keys_of(fp.to_numpy(np.int64), long, side)])
 
     return keys
 
@@ -127,20 +125,19 @@ def close_groups(prints: DataFrame, radius: int = 3, long: bool | None = None) -
     """``node, component`` of the distinct fingerprints ``fp`` that others reach in steps of at most ``radius`` (up to 3) bits.
 
     No link between groups is left out. In each bucket the least row is tried against all others first, so a dense
-    ball of fingerprints costs its rows, not their pairs; of what is then still in different groups all pairs of a
-    bucket are tried. The least rows come from an aggregate, which combines a bucket of any size where it lies.
+    ball of fingerprints costs its rows, not their pairs; then all pairs of a bucket in different groups are tried.
+    The least rows come from an aggregate, which combines a bucket of any size where it lies.
     """
     if not 0 <= radius <= 3:
         raise ValueError("the keys tolerate at most three differing bits")
     long = prints.count() > LONG_KEYS_FROM if long is None else long
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-    rows = prints.select(F.col("fp").alias("node"), F.explode(keys_udf(long)("fp")).alias("key"))
-    lead = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("m")).where("m > 1").select("key", "lead")
-    rows = materialise(rows.join(lead, "key"), "buckets")
-    links = materialise(rows.where((F.col("node") != F.col("lead")) & near("node", "lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "led")
-    rows = materialise(_several(_grouped(rows.select("node", "key"), components(links))), "several")
-    a, b = (rows.select("key", F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    rest = a.join(b, (a["key"] == b["key"]) & (a["a"] < b["b"]) & (F.col("ca") != F.col("cb")) & near("a", "b")).select("a", "b").distinct()
+    rows = prints.select(F.col("fp").alias("b"), F.explode(keys_udf(long)("fp")).alias("key"))
+    lead = rows.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("hi")).where("a <> hi").select("key", "a")
+    links = materialise(rows.join(lead, (rows["key"] == lead["key"]) & (F.col("a") != F.col("b")) & near("a", "b")).select("a", "b").distinct(), "led")
+    placed = materialise(_grouped(prints.select(F.col("fp").alias("node")), components(links)), "placed")
+    a, b = (placed.select(F.col("node").alias(x), F.col("c").alias(f"c{x}"), F.explode(keys_udf(long, side)("node")).alias("key")) for side, x in enumerate("ab"))
+    rest = a.join(b, (a["key"] == b["key"]) & (F.col("ca") != F.col("cb")) & near("a", "b")).select("a", "b").distinct()
     return components(links.union(rest))
 
 
@@ -309,11 +306,14 @@ def near_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     never all pairs of a bucket. These two come from an aggregate, so a bucket of any size is combined where it lies.
     Nodes of one fingerprint are tried against the least of them.
     """
-    prints = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
-    rows = prints.select("fp", F.explode(keys_udf(prints.count() > LONG_KEYS_FROM)("fp")).alias("key"))
+    prints = materialise(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("x")).select("fp", "x.node", F.floor(F.log2(F.col("x.n") + 1)).alias("size")), "fingerprints")
+    # sets that are alike are of one size within a factor, which keeps strangers out of the buckets
+    keys = F.explode(keys_udf(prints.count() > LONG_KEYS_FROM)("fp")).alias("key")
+    rows = prints.select("fp", "size", keys).select("fp", F.shiftleft("key", 6).bitwiseOR(F.col("size")).alias("key"))
     ends = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    tried = rows.join(ends, "key").select("fp", F.explode(F.array("lo", "hi")).alias("other"))
-    tried = tried.where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= REACH)).distinct()
+    near = lambda a, b: (a != b) & (F.bit_count(a.bitwiseXOR(b)) <= REACH)
+    found = rows.join(ends, (rows["key"] == ends["key"]) & (near(F.col("fp"), F.col("lo")) | near(F.col("fp"), F.col("hi"))))
+    tried = found.select("fp", F.explode(F.array("lo", "hi")).alias("other")).where(near(F.col("fp"), F.col("other"))).distinct()
     close = tried.join(prints.select(F.col("fp").alias("other"), F.col("node").alias("a")), "other").join(prints.select("fp", F.col("node").alias("b")), "fp").select("a", "b")
     same = nodes.select("fp", F.col("node").alias("b")).join(prints.select("fp", F.col("node").alias("a")), "fp").where("a <> b").select("a", "b")
     return verified(close.union(same), nodes, texts, shingle, similarity)

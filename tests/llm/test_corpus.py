@@ -196,9 +196,9 @@ def test_close_groups_lose_no_link(spark, long):
     got = {r.node: r.component for r in simhash.close_groups(spark.createDataFrame([(p,) for p in signed], "fp bigint"), long=long).collect()}
     want = brute_components(signed, links)
     assert got == {x: want[x] for link in links for x in link}
-    keys = simhash.keys_of(np.array(signed), long)
-    at = {p: set(keys[i].tolist()) for i, p in enumerate(signed)}
-    assert all(at[a] & at[b] for a, b in links)
+    left, right = ([set(row) for row in simhash.keys_of(np.array(signed), long, side).tolist()] for side in (0, 1))
+    at = {p: i for i, p in enumerate(signed)}
+    assert all(left[at[a]] & right[at[b]] and left[at[b]] & right[at[a]] for a, b in links)
 
 
 def test_components_of_chains_and_stars(spark):
