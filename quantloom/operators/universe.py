@@ -91,6 +91,29 @@ def classify_delisting(history: DataFrame, window_end, stale_days: int = 7) -> D
     return last.select("id", "last_date", rule.alias("rule"))
 
 
+def listing_table(histories: DataFrame, snapshots: DataFrame, dead: DataFrame, window_end, stale_days: int = 7, residual: float = 0.01) -> DataFrame:
+    """One row per id of ``histories`` (``date, id, price, volume``): its life, what the snapshots say of it, and how it left.
+
+    ``snapshots``: ``snapshot_date, id, symbol, rank``; the last symbol, the best rank and the months in the band come
+    from there, null and zero for ids it lacks. Delisted is who is listed in ``dead`` (``id``) or whose positive
+    prices stop over ``stale_days`` before the end.
+    """
+    sound = F.col("price") > 0
+    life = histories.groupBy("id").agg(F.min(F.when(sound, F.col("date"))).alias("first_date"), F.count(F.when(sound, 1)).alias("n_obs"))
+    left = classify_delisting(histories, window_end, stale_days).withColumnRenamed("rule", "delisting_rule")
+    band = snapshots.groupBy("id").agg(F.max_by("symbol", "snapshot_date").alias("symbol"), F.min("rank").alias("best_rank"), F.count("*").alias("months_in_band"))
+    gone = dead.select("id", F.lit(True).alias("untracked")).distinct()
+    out = life.join(left, "id").join(band, "id", "left").join(gone, "id", "left")
+    out = out.withColumn("untracked", F.coalesce("untracked", F.lit(False)))
+    stopped = F.coalesce(F.datediff(F.lit(window_end), "last_date") > stale_days, F.lit(False))
+    return out.select(
+        "id", "symbol", "first_date", "last_date", "n_obs", "best_rank", F.coalesce("months_in_band", F.lit(0)).alias("months_in_band"),
+        "untracked", stopped.alias("prices_stop"), (F.col("untracked") | stopped).alias("delisted"), "delisting_rule",
+        F.when(F.col("delisting_rule") != "alive", F.col("last_date")).alias("delisting_date"),
+        F.when(F.col("delisting_rule") == "total_loss", F.lit(residual)).alias("residual"),
+    )
+
+
 def exit_summary(table: DataFrame, kinds=("alive", "death", "censored_by_rank")) -> DataFrame:
     """Ids by the year they were last seen and the way they left; a kind that a year lacks counts 0."""
     return table.groupBy(F.year("last_date").alias("year")).agg(*(F.count(F.when(F.col("exit_kind") == k, 1)).alias(k) for k in kinds))

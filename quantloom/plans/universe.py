@@ -105,6 +105,12 @@ def delisting_rules(spark, sf):
     return universe.classify_delisting(history, _end(spark, sf), stale_days=1)
 
 
+def listing_lives(spark, sf):
+    history = _listings(spark, sf).withColumn("price", F.when(F.col("id") % 7 == 0, -F.col("price")).otherwise(F.col("price")))
+    snaps = _listings(spark, sf).where("day(date) % 10 = 0").select(F.col("date").alias("snapshot_date"), "id", F.concat(F.lit("u"), "id", F.lit("-"), F.month("date")).alias("symbol"), "rank")
+    return universe.listing_table(history, snaps, history.select("id").distinct().where("id % 5 = 0"), _end(spark, sf), stale_days=1)
+
+
 def survivor_treatments(spark, sf):
     weeks = data.week_panel(spark, sf)
     dense = data.dense_week(spark, sf)
@@ -163,7 +169,7 @@ def availability_by_year(spark, sf):
 
 QUERIES = [
     bracket_membership_counts, bracket_assignments, bracket_dollar_bounds, bracket_size_stats, rank_band_asof, rank_cutoff, rank_cutoff_by_year, membership_strictly_before, month_end_snapshots,
-    universe_exit_table, universe_exits_by_year, delisting_rules, survivor_treatments, redenominations, implied_supply, liquid_universe_mask, value_weighted_market, excess_returns_scrubbed,
+    universe_exit_table, universe_exits_by_year, delisting_rules, listing_lives, survivor_treatments, redenominations, implied_supply, liquid_universe_mask, value_weighted_market, excess_returns_scrubbed,
     extreme_returns_by_year, terminal_shock, quality_report, availability_by_year,
 ]
 
@@ -189,6 +195,10 @@ SQL = {
     "universe_exits_by_year": f"WITH {_UNIVERSE} SELECT CAST(year(last_date) AS INTEGER) AS year, count(*) FILTER (exit_kind = 'alive') AS alive, count(*) FILTER (exit_kind = 'death') AS death, count(*) FILTER (exit_kind = 'censored_by_rank') AS censored_by_rank FROM uni GROUP BY 1",
     "delisting_rules": f"WITH {_LIST}, h AS (SELECT id, date, CASE WHEN id % 7 = 0 THEN -price ELSE price END AS price, volume FROM lst), l AS (SELECT id, max(date) FILTER (price > 0) AS last_date, arg_max(volume, date) FILTER (price > 0) AS v, max(date) FILTER (price <= 0) AS dd FROM h GROUP BY 1) "
     "SELECT id, last_date, CASE WHEN coalesce(dd > last_date, last_date IS NULL) THEN 'total_loss' WHEN date_diff('day', last_date, window_end) <= 1 THEN 'alive' WHEN v > 0 THEN 'last_price' ELSE 'total_loss' END AS rule FROM l, fin",
+    "listing_lives": f"WITH {_LIST}, h AS (SELECT id, date, CASE WHEN id % 7 = 0 THEN -price ELSE price END AS price, volume FROM lst), l AS (SELECT id, min(date) FILTER (price > 0) AS first_date, max(date) FILTER (price > 0) AS last_date, count(*) FILTER (price > 0) AS n_obs, "
+    "arg_max(volume, date) FILTER (price > 0) AS v, max(date) FILTER (price <= 0) AS dd FROM h GROUP BY 1), b AS (SELECT id, arg_max('u' || id || '-' || month(date), date) AS symbol, min(rank) AS best_rank, count(*) AS months_in_band FROM lst WHERE day(date) % 10 = 0 GROUP BY 1), "
+    "r AS (SELECT l.*, id % 5 = 0 AS untracked, coalesce(date_diff('day', last_date, window_end) > 1, FALSE) AS prices_stop, CASE WHEN coalesce(dd > last_date, last_date IS NULL) THEN 'total_loss' WHEN date_diff('day', last_date, window_end) <= 1 THEN 'alive' WHEN v > 0 THEN 'last_price' ELSE 'total_loss' END AS delisting_rule FROM l, fin) "
+    "SELECT id, symbol, first_date, last_date, n_obs, CAST(best_rank AS INTEGER) AS best_rank, coalesce(months_in_band, 0) AS months_in_band, untracked, prices_stop, untracked OR prices_stop AS delisted, delisting_rule, CASE WHEN delisting_rule <> 'alive' THEN last_date END AS delisting_date, CASE WHEN delisting_rule = 'total_loss' THEN CAST(0.01 AS DOUBLE) END AS residual FROM r LEFT JOIN b USING (id)",
     "survivor_treatments": f"WITH {data.DENSE}, full_ AS (SELECT id FROM dense GROUP BY 1 HAVING count(price) / count(*) >= 0.998), surv AS (SELECT date, id FROM week WHERE right(id, 1) NOT IN ('1', '5')), "
     "b AS (SELECT 'pit' AS treatment, id FROM week UNION ALL SELECT 'survivor', id FROM surv UNION ALL SELECT 'snapshot', id FROM surv SEMI JOIN full_ USING (id)) SELECT treatment, count(*) AS member_weeks, count(DISTINCT id) AS ids FROM b GROUP BY 1",
     "redenominations": f"WITH {data.DENSE}, f AS (SELECT date, price, coalesce(abs(ln(price / lag(price) OVER w)) >= ln(2) AND abs(ln(mcap / lag(mcap) OVER w)) <= 0.5, FALSE) AS flag FROM dense WINDOW w AS (PARTITION BY id ORDER BY date)) SELECT CAST(year(date) AS INTEGER) AS year, CAST(sum(CASE WHEN flag THEN 1 ELSE 0 END) AS BIGINT) AS n_flags, count(price) AS n_prices FROM f GROUP BY 1",

@@ -175,3 +175,9 @@ def write_table(df: DataFrame, path: str) -> None:
     """A result table as CSV; infinities are empty."""
     doubles = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")}
     df.select(*(F.when(F.abs(F.col(c)) != float("inf"), F.col(c)).alias(c) if c in doubles else F.col(c) for c in df.columns)).write.mode("overwrite").csv(path, header=True)
+
+
+def write_mask(members: DataFrame, ids: list, path: str) -> None:
+    """Membership (``date, id``, repeated or not) as CSV: a row per date with members, a column of booleans per id."""
+    wide = members.groupBy("date").pivot("id", list(ids)).agg(F.count(F.lit(1)) > 0)
+    wide.select("date", *(F.coalesce(F.col(f"`{c}`"), F.lit(False)).alias(c) for c in wide.columns[1:])).write.mode("overwrite").csv(path, header=True)

@@ -71,6 +71,13 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
 
 
+def test_mask_sink(spark, tmp_path):
+    rows = [(dt.date(2020, 1, 1), "a.x"), (dt.date(2020, 1, 1), "a.x"), (dt.date(2020, 1, 2), "b"), (dt.date(2020, 1, 2), None)]
+    readers.write_mask(spark.createDataFrame(rows, "date date, id string"), ["a.x", "b", "never"], str(tmp_path / "m"))
+    got = [tuple(r) for r in spark.read.csv(str(tmp_path / "m"), header=True).orderBy("date").collect()]
+    assert got == [("2020-01-01", "true", "false", "false"), ("2020-01-02", "false", "true", "false")]
+
+
 def run(query, name, mode="append"):
     q = query.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
